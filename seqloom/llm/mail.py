@@ -120,34 +120,57 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-_QUOTED = re.compile(r"^[ \t]*[>|]|^[ \t]*&gt;")
-_SAYS = re.compile(r"(?:wrote|schrieb|a écrit|escribió|написал[аи]?|пишет)[ \t]*:[ \t]*$", re.I)
-_ORIGINAL = re.compile(r"^[ \t]*-{2,}[^-\n]{0,60}(?:original|forwarded|weitergeleitet|ursprüngliche|reenviado|transféré|пересланное|исходное)[^-\n]{0,60}-{2,}", re.I)
-_SIGNATURE = re.compile(r"^[ \t]*(?:--[ \t]*|_{3,})[ \t]*$")
-_HEADERLIKE = re.compile(r"^[ \t]*(?:from|to|cc|sent|date|subject|von|an|gesendet|betreff|de|para|enviado|asunto|à|envoyé|objet|от|кому|дата|тема)[ \t]*:", re.I)
+_QUOTED = re.compile(r"[>|]|&gt;")
+_MARKED = re.compile(r"[>|*]|&gt;")
+_SAYS = re.compile(r"(?:wrote|schrieb|crit|escribi\S{1,3}|написал[аи]?|пишет)\s*:$", re.I)
+_ORIGINAL = re.compile(r"-{2,}[^-\n]{0,60}(?:original|forwarded|weitergeleitet|ursprüngliche|reenviado|transféré|пересланное|исходное)[^-\n]{0,60}-{2,}", re.I)
+_SIGNATURE = re.compile(r"(?:--|_{3,})$")
+_CLOSING = re.compile(r"(?:(?:best|kind|warm|with kind) )?regards,?$|(?:sincerely|cheers|best wishes),?$|(?:mit )?(?:freundlichen|viele|beste|schöne) grüßen?,?$|(?:bien )?cordialement,?$|(?:un )?(?:cordial )?saludos?(?: cordiales)?,?$|с уважением,?$", re.I)
+_HEADERLIKE = re.compile(r"(?:from|to|cc|sent|date|subject|von|an|gesendet|betreff|de|para|enviado|asunto|à|envoyé|objet|от|кому|дата|тема)[ \t]*:", re.I)
 _DISCLAIMER = re.compile(r"confidential|disclaimer|before printing|vertraulich|confidentiel|confidencial|конфиденциальн|views are those", re.I)
 
 
+def _introduces(lines: list[str], i: int) -> int:
+    """How many lines from i on introduce a quotation; 0 if they don't."""
+    line = lines[i]
+    if _SAYS.search(line) and len(line) < 130:
+        return 1
+    n = int(bool(_ORIGINAL.match(line)))
+    if n or line[:5].lower() == "from:":
+        m = n
+        while i + m < len(lines) and _HEADERLIKE.match(lines[i + m]):
+            m += 1
+        if n or m > 1:
+            return m
+    return 0
+
+
 def own_lines(raw: str | None) -> list[str]:
-    """Lines of what the sender wrote, shown or hidden: the text parts without quoted lines
-    and what introduces them, signature and disclaimer. Link targets stay in the text."""
+    """Lines of what the sender wrote, shown or hidden: the text parts without quotations and
+    what introduces them, signature (from its mark or the closing words on) and disclaimer.
+    Link targets stay in the text.
+
+    Lines marked as quoted go wherever they are; `*` is such a mark only behind a line that
+    introduces a quotation. If nothing is marked there, all up to the signature is quoted.
+    """
     out: list[str] = []
     for sub, text, _ in parts(raw):
         body = strip_html(text, links=True) if sub == "html" else text
-        head = False
-        for line in body.split("\n"):
-            line = line.strip()
-            if not line:
-                head = False
-                continue
-            if _SIGNATURE.match(line):
+        lines = [x for x in (line.strip() for line in body.split("\n")) if x]
+        i, stars = 0, False
+        while i < len(lines):
+            line = lines[i]
+            if _SIGNATURE.match(line) or (len(line) < 40 and _CLOSING.match(line)):
                 break
-            if _ORIGINAL.match(line):
-                head = True
-                continue
-            if head and _HEADERLIKE.match(line):
+            if n := _introduces(lines, i):
+                i += n
+                if i < len(lines) and not _MARKED.match(lines[i]):
+                    break
+                stars = i < len(lines) and lines[i].startswith("*")
                 continue
-            if _QUOTED.match(line) or (_SAYS.search(line) and len(line) < 120) or (_DISCLAIMER.search(line) and len(line) < 200):
+            i += 1
+            stars = stars and line.startswith("*")
+            if stars or _QUOTED.match(line) or (len(line) < 200 and _DISCLAIMER.search(line)):
                 continue
             out.append(line)
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from seqloom.session import Stage
 
-BLOCK_TOKENS = 8_192
+BLOCK_TOKENS = 2_048
 SHARD_TOKENS = 2_000_000
 #: The tokenizer's ranks: lines of a base64 token and its rank.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seqloom.functions.minimizers import minimizers
 from seqloom.functions.text import clean_residues
 from seqloom.operators.skew import hot_join, hot_values
 from seqloom.session import Stage
@@ -38,28 +39,6 @@ ANCHOR = 20
 CROWD = 2_000
 
 
-def anchors(text: bytes, k: int = ANCHOR, span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimizers of all runs of `span` residues."""
-    if len(text) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    base, size = np.uint64(0x9E3779B97F4A7C15), len(text)
-    part, step, have, total = np.frombuffer(text, np.uint8).astype(np.uint64), 1, 0, None
-    with np.errstate(over="ignore"):
-        power = base
-        while step <= k:  # hashes of 1, 2, 4 ... residues; those in k's binary form are joined
-            if k & step:
-                total = part[: size - k + 1] if total is None else total[: size - k + 1] * power + part[have : have + size - k + 1]
-                have += step
-            part = part[:-step] * power + part[step:] if len(part) > step else part[:0]
-            power, step = power * power, step * 2
-        h = total
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    wide = span - k + 1
-    pos = np.unique(np.lib.stride_tricks.sliding_window_view(h, wide).argmin(axis=1) + np.arange(len(h) - wide + 1))
-    return pos, h[pos]
-
-
 class Automaton:
     """Suffix automaton over several texts; each state knows the smallest and the largest
     owner of the texts that contain it."""
@@ -206,7 +185,7 @@ def shared_spans(records: DataFrame, least: int = MIN_SPAN, crowd: int = CROWD)
         for b in batches:
             owners, hashes = [], []
             for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = np.unique(anchors(t.encode(), ANCHOR, least)[1]).view(np.int64)
+                h = np.unique(minimizers(t.encode(), ANCHOR, least)[1])
                 owners.append(np.full(len(h), o, np.int64))
                 hashes.append(h)
             if owners:
@@ -217,9 +196,9 @@ def shared_spans(records: DataFrame, least: int = MIN_SPAN, crowd: int = CROWD)
         for b in batches:
             rows: list[tuple] = []
             for o, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                pos, h = anchors(t.encode(), ANCHOR, least)
-                h = h.view(np.int64)
-                for p, x in zip(pos[keep := np.isin(h, wanted.values.to_numpy())].tolist(), h[keep].tolist()):
+                pos, h = minimizers(t.encode(), ANCHOR, least)
+                keep = np.isin(h, wanted.values.to_numpy())
+                for p, x in zip(pos[keep].tolist(), h[keep].tolist()):
                     a = max(0, p - half)
                     rows.append((x, t[a : p + least], o, a))
                 if len(rows) > 20_000:

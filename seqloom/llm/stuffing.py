@@ -35,9 +35,10 @@ PAIR_SHARE = 5e-6
 #: Pairs met less often say nothing.
 LEAST_COUNT = 4
 #: Lines below this mean coherence are salad.
-LEAST_COHERENCE = 0.35
-#: A line of many pairs is a repeated collocation if each is met this often in it.
-MOST_REPEATS = 2.5
+LEAST_COHERENCE = 0.6
+#: A line is a repeated collocation if each of its pairs, on average, is met this often in
+#: the page (two parts of one message may say the same) and makes up this share of it.
+MOST_REPEATS, REPEAT_SHARE = 4.0, 0.05
 #: A page is stuffed from this share of its characters on.
 STUFFED_SHARE = 0.5
 
@@ -104,15 +105,18 @@ def known_counts(counts: DataFrame, share: float = PAIR_SHARE) -> tuple[dict, di
 
 
 def _evidence(ws: list[str], pairs: dict) -> tuple[int, float]:
-    """Known pairs of a line, and the sum of their coherence; a doubled word has none."""
+    """Known pairs of a line, and the sum of their coherence; a doubled word has none. Pairs
+    with a number, and pairs that usually stand the other way round (an item and its kind in
+    a packing list), say nothing."""
     n, total = 0, 0.0
     for a, b in zip(ws, ws[1:]):
+        if a == "0" or b == "0":
+            continue
         if a == b:
-            if a != "0":
-                n += 1
+            n += 1
             continue
         x, y = pairs.get((a, b), 0), pairs.get((b, a), 0)
-        if x + y:
+        if x + y and (x - y) / (x + y) > -0.7:
             n, total = n + 1, total + (x - y) / (x + y)
     return n, total
 
@@ -127,16 +131,19 @@ def score_lines(lines: list[str], uni: dict, pairs: dict, n_words: int, n_pairs:
             if (c := pairs.get((a, b))) and a in uni and b in uni:
                 pmi += math.log(c / n_pairs * (n_words / uni[a]) * (n_words / uni[b]))
                 known += 1
+    often = Counter(x for ws in toks for x in zip(ws, ws[1:]) if "0" not in x)
+    total = sum(often.values())
     kinds: list[bool | None] = []
     for i, (line, ws) in enumerate(zip(lines, toks)):
         urls, tags = _URL.findall(line), _TAG.findall(line)
         n, c = ev[i]
-        if n < 4:  # too short to tell alone
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(lines) and not _URL.search(lines[j]):
+        for near in (1, 2):  # too short to tell alone
+            for j in (i - near, i + near):
+                if n < 4 * near and 0 <= j < len(lines) and not _URL.search(lines[j]):
                     n, c = n + ev[j][0], c + ev[j][1]
         salad = n > 0 and c / n < LEAST_COHERENCE
-        many = len(ws) >= 12 and (len(ws) - 1) / len(set(zip(ws, ws[1:]))) >= MOST_REPEATS
+        own = [often[x] for x in zip(ws, ws[1:]) if "0" not in x]
+        many = len(own) >= 3 and sum(own) / len(own) >= max(MOST_REPEATS, REPEAT_SHARE * total)
         if urls:
             # A single link behind a sentence belongs to it.
             alone = i > 0 and kinds[-1] is False and not (i + 1 < len(lines) and _URL.search(lines[i + 1]))
