@@ -72,9 +72,11 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def family_sample(df: DataFrame, family: str, key: str, n: int, per_family: int = 100, seed: int = 42) -> DataFrame:
     """Rows of the largest families first, at most per_family of each in hashed order, until
-    n rows are taken. Only the families' sizes meet in one window."""
+    n rows are taken. Each chosen family gives a row, so the sizes of the n largest are all
+    that one window sees."""
     sizes = df.filter(F.col(family).isNotNull()).groupBy(family).agg(F.count(F.lit(1)).alias("size"))
     order = W.orderBy(F.desc("size"), F.asc(family))
+    sizes = sizes.orderBy(F.desc("size"), F.asc(family)).limit(n)
     quota = F.least("size", F.lit(per_family))
     before = F.coalesce(F.sum(quota).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = sizes.select(family, F.row_number().over(order).alias("family_rank"), F.least(quota, F.lit(n) - before).alias("take")).filter("take > 0")

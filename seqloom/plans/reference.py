@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions import edits, residue
+from seqloom.functions import align, edits, residue
 from seqloom.functions.text import clean_residues, first_word
 from seqloom.operators import compress, evaluate, forest, hierarchy, search, seeds
 from seqloom.session import Stage
@@ -111,7 +111,15 @@ def edit_roundtrip(spark, sf_dir):
 
 
 def edit_forest_roundtrip(spark, sf_dir):
-    return _neighbours(spark, sf_dir).filter(F.length("a") <= 2000).select("seq_id", edits.apply_forest(edits.forest_ops("a", "b"), "a").alias("residues"))
+    return _neighbours(spark, sf_dir).select("seq_id", edits.apply_forest(edits.forest_ops("a", "b"), "a").alias("residues"))
+
+
+def nw_alignment(spark, sf_dir):
+    """Each sequence aligned with the next, and both again without the gaps."""
+    s = sequences(spark, sf_dir)
+    nxt = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("residues").alias("b"))
+    got = align.align_pairs(s.withColumnRenamed("residues", "a").join(nxt, "seq_id"), "a", "b", search.rule_matrix())
+    return got.select("seq_id", F.replace("aligned_a", F.lit("-"), F.lit("")).alias("a"), F.replace("aligned_b", F.lit("-"), F.lit("")).alias("b"), (F.length("aligned_a") == F.length("aligned_b")).alias("even"))
 
 
 def flat_roundtrip(spark, sf_dir):
@@ -272,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
-        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, candidate_dedupe,
+        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, candidate_dedupe,
         align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, profile_counts,
         db_append, stream_append, stream_periods,
     )

@@ -90,7 +90,8 @@ m AS (SELECT seq_id, min(i) - 1 AS at_, string_agg(y, '' ORDER BY i) AS body FRO
 d AS (SELECT seq_id, at_, 's' || CAST(at_ - coalesce(lag(at_) OVER (PARTITION BY seq_id ORDER BY at_), 0) AS VARCHAR) || body AS piece FROM m)
 SELECT p.seq_id, coalesce(string_agg(piece, '' ORDER BY at_), '') AS script FROM p LEFT JOIN d ON d.seq_id = p.seq_id GROUP BY p.seq_id""",
     "edit_roundtrip": f"WITH {_P} SELECT seq_id, b AS residues FROM p",
-    "edit_forest_roundtrip": f"WITH {_P} SELECT seq_id, b AS residues FROM p WHERE length(a) <= 2000",
+    "edit_forest_roundtrip": f"WITH {_P} SELECT seq_id, b AS residues FROM p",
+    "nw_alignment": f"WITH {_S} SELECT s.seq_id, s.residues AS a, t.residues AS b, true AS even FROM s JOIN s t ON t.seq_id = s.seq_id + 1",
     "flat_roundtrip": _GIVEN,
     "forest_roundtrip": _GIVEN,
     "db_append": _GIVEN,

@@ -16,7 +16,7 @@ def _records(lines: DataFrame) -> DataFrame:
     record = F.regexp_replace("value", "^\\s*>", "")
     head = F.trim(F.regexp_extract(record, r"^([^\n]*)", 1))
     body = F.regexp_replace(F.regexp_replace(record, r"^[^\n]*", ""), r"\s", "")
-    return lines.filter(F.trim("value") != "").withColumn("header", head).withColumn("residues", body).drop("value")
+    return lines.filter(F.col("value").rlike(r"\S")).withColumn("header", head).withColumn("residues", body).drop("value")
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:

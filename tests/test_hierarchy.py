@@ -95,7 +95,7 @@ def test_shapes(spark, monkeypatch):
         assert {(r.ancestor_id, r.node_id, r.distance) for r in hi.descendants(h).collect()} == {(a, x, i) for x, c in chain.items() for i, a in enumerate(c) if i}
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(0, 14)), min_size=1, max_size=14))
 def test_random_links(spark, links):
     parents = dict(enumerate(links))
