@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 1. Every document gets its size in tokens of a public tokenizer, and a shard of its source;
-   a shard is about SHARD_TOKENS large, however large the source.
+   a shard is about SHARD_TOKENS large, so that no task gets a whole source.
 2. In each shard the documents follow one another in a seeded order and are cut into blocks
    of BLOCK_TOKENS: a document belongs to the block in which its first token lies.
 3. The blocks of the mix go to the sources one by one, each to the highest quotient
@@ -25,7 +25,9 @@ from pyspark.sql import Window as W
 from seqloom.session import Stage
 
 BLOCK_TOKENS = 2_048
-SHARD_TOKENS = 2_000_000
+#: Tokens of a shard, unless a source would have more than MOST_SHARDS: those are ranked in one
+#: window, so shards of larger sources are larger.
+SHARD_TOKENS, MOST_SHARDS = 2_000_000, 10_000
 #: The tokenizer's ranks: lines of a base64 token and its rank.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE of this vocabulary cuts text before merging.
@@ -122,7 +124,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int |
     sizes = spark.createDataFrame([(s, int(r["n_tokens"])) for s, r in plan.items()] or [("", 0)], "source STRING, size BIGINT")
     in_plan = sized.filter("n_tokens > 0").join(F.broadcast(sizes), "source")
     h = lambda salt, *c: F.xxhash64(F.lit(seed), F.lit(salt), *c)
-    put = in_plan.withColumn("shard", F.pmod(h(1, "doc_id"), F.ceil(F.col("size") / shard)))
+    put = in_plan.withColumn("shard", F.pmod(h(1, "doc_id"), F.least(F.ceil(F.col("size") / shard), F.lit(MOST_SHARDS))))
     run = W.partitionBy("source", "shard").orderBy(h(2, "doc_id"), "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     put = put.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(run), F.lit(0)) / block))
     put = stage.save(put.select("doc_id", "source", "n_tokens", "shard", "block"), "blocks")

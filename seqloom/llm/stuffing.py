@@ -39,6 +39,8 @@ LEAST_COHERENCE = 0.6
 #: A line is a repeated collocation if each of its pairs, on average, is met this often in
 #: the page (two parts of one message may say the same) and makes up this share of it.
 MOST_REPEATS, REPEAT_SHARE = 4.0, 0.05
+#: Stuffing of fewer characters doesn't count: a damaged greeting is no page.
+LEAST_CHARS = 60
 #: A page is stuffed from this share of its characters on.
 STUFFED_SHARE = 0.5
 
@@ -155,7 +157,10 @@ def score_lines(lines: list[str], uni: dict, pairs: dict, n_words: int, n_pairs:
             kinds.append(True)
         else:
             kinds.append(many or (salad and len(ws) >= 2))
+    # A short line between stuffed ones is of their kind.
+    kinds = [True if k is False and len(toks[i]) <= 6 and ev[i][0] < 4 and 0 < i < len(kinds) - 1 and kinds[i - 1] and kinds[i + 1] else k for i, k in enumerate(kinds)]
     bad = sum(len(x) for x, k in zip(lines, kinds) if k)
+    bad = bad if bad >= LEAST_CHARS else 0
     good = sum(len(x) for x, k in zip(lines, kinds) if k is False)
     n, c = sum(x[0] for x in ev), sum(x[1] for x in ev)
     return pmi / max(known, 1), c / max(n, 1), bad / max(bad + good, 1)
