@@ -103,7 +103,7 @@ ax AS (SELECT regexp_extract(qseqid, '^\\s*(\\S*)', 1) AS qseqid, accession, 'qu
        UNION ALL
        SELECT regexp_extract(qseqid, '^\\s*(\\S*)', 1), accession, 'hit', least(hit_from, hit_to), greatest(hit_from, hit_to)
        FROM hsp WHERE hit_from IS NOT NULL AND hit_to IS NOT NULL),
-run AS (SELECT *, max(hi) OVER (PARTITION BY qseqid, accession, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ax)"""
+run AS (SELECT *, max(hi) OVER (PARTITION BY qseqid, accession, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM (SELECT DISTINCT * FROM ax))"""
 _SEEDS = """
 freq AS (SELECT kmer_hash, seq_ind, res_ind, count(*) AS weight FROM seed_loc
          WHERE kmer_hash IS NOT NULL AND seq_ind IS NOT NULL AND res_ind IS NOT NULL GROUP BY ALL)"""

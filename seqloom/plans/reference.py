@@ -246,6 +246,11 @@ def search_flat(spark, sf_dir):
     return search.search_compressed(s.filter(F.col("seq_id") % QUERY_STEP == 0), coarse, segments, s)
 
 
+def search_iterated(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    return search.search_iterated(s.filter(F.col("seq_id") % QUERY_STEP == 0), s, 2)
+
+
 def profile_counts(spark, sf_dir):
     s = sequences(spark, sf_dir)
     return search.profile_counts(search.search(s.filter(F.col("seq_id") % QUERY_STEP == 0), s), s)
@@ -281,7 +286,7 @@ QUERIES = {
     for f in (
         seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
         best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, candidate_dedupe,
-        align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, profile_counts,
+        align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
         db_append, stream_append, stream_periods,
     )
 }

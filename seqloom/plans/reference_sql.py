@@ -149,7 +149,7 @@ SELECT seq_id, r.family, family_rank FROM r JOIN q ON q.family = r.family WHERE
     "hash_sample": f"SELECT DISTINCT seq_id FROM fasta_sequence WHERE seq_id IS NOT NULL ORDER BY {_ORDER.format(k='seq_id')}, seq_id LIMIT 200",
     "stream_periods": f"""
 WITH ax AS (SELECT {_WORD} AS qseqid, least(query_from, query_to) AS lo, greatest(query_from, query_to) AS hi FROM hsp WHERE query_from IS NOT NULL AND query_to IS NOT NULL),
-run AS (SELECT *, max(hi) OVER (PARTITION BY qseqid ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ax),
+run AS (SELECT *, max(hi) OVER (PARTITION BY qseqid ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM (SELECT DISTINCT * FROM ax)),
 isle AS (SELECT *, sum(CASE WHEN upto IS NULL OR lo > upto + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qseqid ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM run)
 SELECT qseqid, CAST(min(lo) AS BIGINT) AS period_from, CAST(max(hi) AS BIGINT) AS period_to FROM isle GROUP BY qseqid, k""",
 }

@@ -47,6 +47,15 @@ class SequenceDatabase:
     def segments(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/segments")
 
+    def get(self, ids: DataFrame) -> DataFrame:
+        """The sequences of the ids in column seq_id; only their segments are read further."""
+        return compress.decompress(self.coarse, self.segments.join(ids.select("seq_id").distinct(), "seq_id", "left_semi"))
+
+    def links(self, coarse_ids: DataFrame) -> DataFrame:
+        """coarse_id, seq_id, c_start, c_end: which sequences use a representative, and where."""
+        wanted = coarse_ids.select("coarse_id").distinct()
+        return self.segments.join(wanted, "coarse_id", "left_semi").select("coarse_id", "seq_id", "c_start", "c_end")
+
     def append(self, seqs: DataFrame) -> None:
         """Adds sequences whose ids aren't in the database yet; others are left as they are."""
         if self.read_only:

@@ -41,6 +41,16 @@ def read_sequences(spark: SparkSession, path: str | list[str], masked: bool = Tr
     return read_fasta(spark, path).withColumn("residues", mask(clean) if masked else clean)
 
 
+def first_records(records: DataFrame, n: int) -> DataFrame:
+    """The first n records in order of file and number."""
+    return records.orderBy("file", "rec_no").limit(n)
+
+
+def record(records: DataFrame, name: str) -> DataFrame:
+    """Records whose header's first word is `name`; none if there is no such record."""
+    return records.filter(F.regexp_extract("header", r"^\s*(\S*)", 1) == name)
+
+
 def fasta_text(header: str = "header", residues: str = "residues", width: int = 60):
     """One record as text, without the last line break."""
     body = wrap(residues, width) if width else F.concat(F.coalesce(residues, F.lit("")), F.lit("\n"))

@@ -62,6 +62,8 @@ def test_database(spark, records, tmp_path):
     assert {r.seq_id: r.residues for r in db.sequences().collect()} == {i: t for i, t in records.items() if t}
     assert db.coarse.count() > small and compress.ratio(db.coarse, frame(spark, records)).first().percent < 70
     assert db.residues() == sum(map(len, records.values()))
+    assert {r.seq_id: r.residues for r in db.get(frame(spark, {1: "", 7: "", 999: ""})).collect()} == {i: records[i] for i in (1, 7)}
+    assert db.links(db.coarse.limit(1)).count() >= 1
     with pytest.raises(Exception, match="(?i)exists"):
         SequenceDatabase.create(frame(spark, first), path)
     ro = SequenceDatabase.create(frame(spark, {1: "ACDEF"}), path, read_only=True, overwrite=True)
@@ -81,6 +83,9 @@ def test_search_recall(spark, records):
         if r.query_id == r.subject_id:
             assert (r.qstart, r.qend) == (1, len(recs[r.query_id]))
     assert search.search(df.limit(0), df).count() == 0
+    again = {(r.query_id, r.subject_id) for r in search.search_iterated(df.filter("seq_id % 5 = 0"), df, 2).collect()}
+    assert found <= again <= want
+    assert search.search_iterated(df.limit(0), df, 2).count() == 0
 
 
 def local_score(a, b, p):
@@ -177,6 +182,9 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "b.fasta").write_text(">one x\nK\n")
     got = {(r.file[-7:], r.rec_no, r.header, r.residues) for r in fasta.read_sequences(spark, str(tmp_path)).collect()}
     assert got == {("a.fasta", 0, "one x", "ACDEF"), ("a.fasta", 1, "two", ""), ("a.fasta", 2, "three", "ACDX"), ("b.fasta", 0, "one x", "K")}
+    recs = fasta.read_fasta(spark, str(tmp_path))
+    assert [r.header for r in fasta.first_records(recs, 2).collect()] == ["one x", "two"]
+    assert fasta.record(recs, "one").count() == 2 and fasta.record(recs, "none").count() == 0
     out = str(tmp_path / "out")
     recs = {1: "ACD" * 50, 2: "", 3: "K"}
     fasta.write_fasta(frame(spark, recs).selectExpr("CAST(seq_id AS STRING) AS header", "residues"), out)
