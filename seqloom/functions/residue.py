@@ -31,11 +31,23 @@ def reduce_alphabet(c: Column | str) -> Column:
     return F.translate(c, REDUCED_LETTERS, REDUCED_GROUPS)
 
 
+#: Positions per piece of a text: a substring costs time in proportion to where it begins.
+_PIECE = 512
+
+
 def kmers(c: Column | str, k: int, last: bool = True) -> Column:
-    """array<struct<pos, kmer>> of all windows of k; last=False leaves out the final window."""
+    """array<struct<pos, kmer>> of all windows of k; last=False leaves out the final window.
+    Windows are cut from pieces of the text, so that long texts don't cost their square."""
     c = _col(c)
     top = F.length(c) - k - (0 if last else 1)
-    return F.when(top >= 0, F.transform(F.sequence(F.lit(0), top), lambda i: F.struct(i.alias("pos"), c.substr(i + 1, F.lit(k)).alias("kmer")))).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<pos: INT, kmer: STRING>>)"))
+
+    def piece(at: Column) -> Column:
+        part = F.array(c.substr(at + 1, F.lit(_PIECE + k - 1)))
+        windows = lambda t: F.transform(F.sequence(F.lit(0), F.least(top - at, F.lit(_PIECE - 1))), lambda i: F.struct((at + i).alias("pos"), t.substr(i + 1, F.lit(k)).alias("kmer")))
+        return F.element_at(F.transform(part, windows), 1)
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), top, F.lit(_PIECE)), piece))
+    return F.when(top >= 0, found).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<pos: INT, kmer: STRING>>)"))
 
 
 def kmer_hash(c: Column | str) -> Column:
