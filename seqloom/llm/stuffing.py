@@ -11,9 +11,9 @@ Lines (short ones with their neighbours) are stuffed if they are incoherent, if
 collocations fill them again and again, or if they are links, tags or product rows. A page
 is stuffed if such lines hold more characters than the rest.
 
-Only pairs that make up at least PAIR_SHARE of all pairs are used, so the table that every
-task gets has at most 1 / PAIR_SHARE rows however large the corpus; counts themselves are
-over all documents and exact.
+All pairs count that are met LEAST_COUNT times in either order. Those that make up at least
+PAIR_SHARE of all pairs are sent to every task, at most 1 / PAIR_SHARE rows however large the
+corpus; a page's other pairs are joined to the table of all pairs, where none of them is hot.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.mail import own_lines, words
+from seqloom.operators.skew import hot_join, hot_values
 from seqloom.session import Stage
 
-#: Least share of a pair (and of a word) among all pairs (words): at most 200,000 of each.
+#: Pairs from this share of all pairs on are broadcast, at most 200,000; the rest are joined.
 PAIR_SHARE = 5e-6
-#: Pairs met less often say nothing.
+#: Pairs met less often, both orders together, say nothing.
 LEAST_COUNT = 4
 #: Lines below this mean coherence are salad.
 LEAST_COHERENCE = 0.6
@@ -56,14 +58,15 @@ def tokens(line: str) -> list[str]:
 
 
 def body_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, lines of each message's own body."""
+    """doc_id, lines of each message's own body, and the words of each line between spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines = [own_lines(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.list_(pa.string()))], ["doc_id", "lines"])
+            said = [[" ".join(tokens(x)) for x in doc] for doc in lines]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.list_(pa.string())), pa.array(said, pa.list_(pa.string()))], ["doc_id", "lines", "words"])
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id BIGINT, lines ARRAY<STRING>")
+    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id BIGINT, lines ARRAY<STRING>, words ARRAY<STRING>")
 
 
 def corpus_counts(lines: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def corpus_counts(lines: DataFrame) -> DataFrame:
         for b in batches:
             for doc in b.column(0).to_pylist():
                 for line in doc or ():
-                    ws = tokens(line)
+                    ws = line.split()
                     pairs.update(zip(ws, ws[1:]))
                     pairs.update((w, None) for w in ws)
             if len(pairs) > 500_000:
@@ -89,7 +92,7 @@ def corpus_counts(lines: DataFrame) -> DataFrame:
         if pairs:
             yield out()
 
-    sent = lines.select("lines").mapInArrow(run, "first STRING, second STRING, n BIGINT")
+    sent = lines.select("words").mapInArrow(run, "first STRING, second STRING, n BIGINT")
     return sent.groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
@@ -106,33 +109,80 @@ def known_counts(counts: DataFrame, share: float = PAIR_SHARE) -> tuple[dict, di
     return uni, pairs, n_words, n_pairs
 
 
-def _evidence(ws: list[str], pairs: dict) -> tuple[int, float]:
+def pair_table(counts: DataFrame) -> DataFrame:
+    """a, b, ahead, back, lift, n for all pairs a <= b met LEAST_COUNT times: how often a stands
+    before b and behind it, what exp(PMI) is per time, and the sum of both counts."""
+    uni = counts.filter("second IS NULL").select(F.col("first").alias("w"), F.col("n").alias("u"))
+    both = counts.filter("second IS NOT NULL")
+    n_words, n_pairs = (x.agg(F.sum("n")).first()[0] or 0 for x in (counts.filter("second IS NULL"), both))
+    order = F.col("first") <= F.col("second")
+    sides = both.groupBy(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b")).agg(
+        F.sum(F.when(order, F.col("n")).otherwise(0)).alias("ahead"), F.sum(F.when(order, 0).otherwise(F.col("n"))).alias("back")
+    )
+    got = sides.withColumn("n", F.col("ahead") + F.col("back")).filter(F.col("n") >= LEAST_COUNT)
+    for side in ("a", "b"):
+        per = got.groupBy(side).agg(F.count(F.lit(1)).alias("k"))
+        hot = hot_values(per, side, "k", per.agg(F.sum("k")).first()[0] or 0)
+        got = hot_join(got, uni.select(F.col("w").alias(side), F.col("u").alias(f"u_{side}")), side, hot, "inner")
+    lift = F.lit(float(n_words)) * n_words / max(n_pairs, 1) / F.col("u_a") / F.col("u_b")
+    return got.select("a", "b", "ahead", "back", lift.alias("lift"), "n")
+
+
+def page_pairs(lines: DataFrame, hot: Broadcast) -> DataFrame:
+    """doc_id, a, b: each page's pairs (a <= b) that aren't broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
+        for batch in batches:
+            ids: list[int] = []
+            left: list[str] = []
+            right: list[str] = []
+            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met: set[tuple[str, str]] = set()
+                for ws in map(str.split, rows or ()):
+                    met.update(zip(ws, ws[1:]))
+                new = {x if x[0] <= x[1] else x[::-1] for x in met.difference(known)}
+                ids += [doc] * len(new)
+                left += [x[0] for x in new]
+                right += [x[1] for x in new]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], ["doc_id", "a", "b"])
+
+    return lines.select("doc_id", "words").mapInArrow(run, "doc_id BIGINT, a STRING, b STRING")
+
+
+def _both_orders(a: list[str], b: list[str], ahead: list[int], back: list[int], lift: list[float]) -> dict:
+    """(first, second) -> how often they stand so and the other way round, and exp(PMI) per time."""
+    got = dict(zip(zip(a, b), zip(ahead, back, lift)))
+    return dict(zip(zip(b, a), zip(back, ahead, lift))) | got  # got last: it has a doubled word's count
+
+
+def _evidence(ws: list[str], known: list[tuple | None]) -> tuple[int, float]:
     """Known pairs of a line, and the sum of their coherence; a doubled word has none. Pairs
-    with a number, and pairs that usually stand the other way round (an item and its kind in
-    a packing list), say nothing."""
+    with a number say nothing."""
     n, total = 0, 0.0
-    for a, b in zip(ws, ws[1:]):
+    for a, b, met in zip(ws, ws[1:], known):
         if a == "0" or b == "0":
             continue
         if a == b:
             n += 1
-            continue
-        x, y = pairs.get((a, b), 0), pairs.get((b, a), 0)
-        if x + y and (x - y) / (x + y) > -0.7:
+        elif met:
+            x, y, _ = met
             n, total = n + 1, total + (x - y) / (x + y)
     return n, total
 
 
-def score_lines(lines: list[str], uni: dict, pairs: dict, n_words: int, n_pairs: int) -> tuple[float, float, float]:
-    """Mean PMI of all known pairs, mean coherence, and the share of characters in stuffed lines."""
-    toks = [tokens(x) for x in lines]
-    ev = [_evidence(ws, pairs) for ws in toks]
+def score_lines(lines: list[str], toks: list[list[str]], rare: dict, hot: dict) -> tuple[float, float, float]:
+    """Mean PMI of all known pairs, mean coherence, and the share of characters in stuffed lines.
+
+    A line without known pairs near it is judged by the page's; on a page that has none, by
+    its form alone, and if that says nothing it counts for neither side."""
+    met = [[rare.get(x) or hot.get(x) for x in zip(ws, ws[1:])] for ws in toks]
+    ev = [_evidence(ws, x) for ws, x in zip(toks, met)]
     pmi, known = 0.0, 0
-    for ws in toks:
-        for a, b in zip(ws, ws[1:]):
-            if (c := pairs.get((a, b))) and a in uni and b in uni:
-                pmi += math.log(c / n_pairs * (n_words / uni[a]) * (n_words / uni[b]))
-                known += 1
+    for x in (x for row in met for x in row if x and x[0] >= LEAST_COUNT):
+        pmi += math.log(x[0] * x[2])
+        known += 1
+    page = (sum(x[0] for x in ev), sum(x[1] for x in ev))
     often = Counter(x for ws in toks for x in zip(ws, ws[1:]) if "0" not in x)
     total = sum(often.values())
     kinds: list[bool | None] = []
@@ -143,6 +193,8 @@ def score_lines(lines: list[str], uni: dict, pairs: dict, n_words: int, n_pairs:
             for j in (i - near, i + near):
                 if n < 4 * near and 0 <= j < len(lines) and not _URL.search(lines[j]):
                     n, c = n + ev[j][0], c + ev[j][1]
+        if n == 0:
+            n, c = page
         salad = n > 0 and c / n < LEAST_COHERENCE
         own = [often[x] for x in zip(ws, ws[1:]) if "0" not in x]
         many = len(own) >= 3 and sum(own) / len(own) >= max(MOST_REPEATS, REPEAT_SHARE * total)
@@ -156,14 +208,14 @@ def score_lines(lines: list[str], uni: dict, pairs: dict, n_words: int, n_pairs:
         elif len(_CELL.findall(line)) >= 3 and (_PRICE.search(line) or salad):
             kinds.append(True)
         else:
-            kinds.append(many or (salad and len(ws) >= 2))
+            stuffed = many or (salad and len(ws) >= 2)
+            kinds.append(None if n == 0 and not stuffed else stuffed)
     # A short line between stuffed ones is of their kind.
     kinds = [True if k is False and len(toks[i]) <= 6 and ev[i][0] < 4 and 0 < i < len(kinds) - 1 and kinds[i - 1] and kinds[i + 1] else k for i, k in enumerate(kinds)]
     bad = sum(len(x) for x, k in zip(lines, kinds) if k)
     bad = bad if bad >= LEAST_CHARS else 0
     good = sum(len(x) for x, k in zip(lines, kinds) if k is False)
-    n, c = sum(x[0] for x in ev), sum(x[1] for x in ev)
-    return pmi / max(known, 1), c / max(n, 1), bad / max(bad + good, 1)
+    return pmi / max(known, 1), page[1] / max(page[0], 1), bad / max(bad + good, 1)
 
 
 def score_pages(docs: DataFrame, share: float = PAIR_SHARE) -> DataFrame:
@@ -175,16 +227,27 @@ def score_pages(docs: DataFrame, share: float = PAIR_SHARE) -> DataFrame:
     stage = Stage(docs.sparkSession, "stuffing")
     lines = stage.save(body_lines(docs), "lines")
     counts = stage.save(corpus_counts(lines), "counts")
-    sent = docs.sparkSession.sparkContext.broadcast(known_counts(counts, share))
+    table = stage.save(pair_table(counts), "pairs")
+    n_pairs = counts.filter("second IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    least = max(n_pairs * share, 1)
+    sides = ["a", "b", "ahead", "back", "lift"]
+    rows = table.filter(F.col("n") >= least).drop("n").toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast(_both_orders(*(rows[c].tolist() for c in sides)))
+    rare = page_pairs(lines, sent).join(table.filter(F.col("n") < least).drop("n"), ["a", "b"])
+    per = rare.groupBy("doc_id").agg(F.collect_set(F.struct(*sides)).alias("p")).select("doc_id", *[F.col(f"p.{c}").alias(c) for c in sides])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for b in batches:
-            scores = [score_lines(x or [], *known) for x in b.column(1).to_pylist()]
-            cols = list(zip(*scores)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in cols]], ["doc_id", "mean_pmi", "coherence", "stuffed_share"])
-
-    return lines.mapInArrow(run, "doc_id BIGINT, mean_pmi DOUBLE, coherence DOUBLE, stuffed_share DOUBLE")
+        hot = sent.value
+        for batch in batches:
+            out = []
+            for texts, said, a, b, *rest in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
+                rare = _both_orders(a, b, *rest) if a else {}
+                out.append(score_lines(texts or [], [x.split() for x in said or []], rare, hot))
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in cols]], ["doc_id", "mean_pmi", "coherence", "stuffed_share"])
+
+    full = lines.join(per, "doc_id", "left").select("doc_id", "lines", "words", *sides)
+    return full.mapInArrow(run, "doc_id BIGINT, mean_pmi DOUBLE, coherence DOUBLE, stuffed_share DOUBLE")
 
 
 def stuffed_pages(docs: DataFrame, share: float = STUFFED_SHARE) -> DataFrame:

@@ -179,3 +179,29 @@ def test_known_counts_are_bounded(spark):
     counts = spark.createDataFrame([(f"a{i}", f"b{i}", 5) for i in range(500)] + [("big", "pair", 10**6), ("big", None, 10**6)], "first STRING, second STRING, n BIGINT")
     _, pairs, _, _ = stuffing.known_counts(counts, 0.01)
     assert list(pairs) == [("big", "pair")]
+
+
+def test_rare_pairs_count(spark):
+    """Salad whose pairs are all too rare for the broadcast is found; how many are broadcast changes nothing."""
+    rng = random.Random(4)
+    vocabulary = [f"keyword{chr(97 + i)}" for i in range(25)]
+    docs = {i: "From: x\n\n" + "\n".join(rng.sample(SENTENCES, k=3)) for i in range(60)}
+    docs |= {i: "From: x\n\n" + "\n".join(" ".join(rng.sample(vocabulary, k=12)) for _ in range(6)) for i in range(100, 140)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id BIGINT, text STRING")
+    few, all_ = ({r.doc_id: (round(r.mean_pmi, 9), round(r.coherence, 9), r.stuffed_share) for r in stuffing.score_pages(df, s).collect()} for s in (0.01, 0.0))
+    assert few == all_
+    assert {i for i, x in few.items() if x[2] > 0.5} == set(range(100, 140))
+
+
+def test_pair_table_has_both_orders(spark):
+    rows = [("x", "y", 5), ("y", "x", 3), ("p", "q", 2), ("q", "p", 1), ("x", None, 8), ("y", None, 8), ("p", None, 3), ("q", None, 3)]
+    got = stuffing.pair_table(spark.createDataFrame(rows, "first STRING, second STRING, n BIGINT")).collect()
+    assert [(r.a, r.b, r.ahead, r.back, r.n) for r in got] == [("x", "y", 5, 3, 8)]
+
+
+def test_line_without_known_pairs():
+    """Takes the page's kind; on a page without any evidence it counts for neither side."""
+    salad = {("a", "b"): (1, 9, 0.1), ("b", "c"): (5, 5, 0.1)}, {}
+    lines = ["a b c a b c a b c", "one", "two", "three", " ".join(f"w{i}" for i in range(40))]
+    assert stuffing.score_lines(lines, [x.split() for x in lines], *salad)[2] > 0.9
+    assert stuffing.score_lines(lines[-1:], [lines[-1].split()], {}, {})[2] == 0
