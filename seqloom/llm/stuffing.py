@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -41,8 +42,9 @@ LEAST_COHERENCE = 0.6
 #: A line is a repeated collocation if each of its pairs, on average, is met this often in
 #: the page (two parts of one message may say the same) and makes up this share of it.
 MOST_REPEATS, REPEAT_SHARE = 4.0, 0.05
-#: Stuffing of fewer characters doesn't count: a damaged greeting is no page.
-LEAST_CHARS = 60
+#: So it is, however many collocations the page has, if half of its words stand in runs of
+#: so many words that are met MOST_REPEATS times. Set phrases of sentences are shorter.
+RUN_WORDS = 6
 #: A page is stuffed from this share of its characters on.
 STUFFED_SHARE = 0.5
 
@@ -171,6 +173,20 @@ def _evidence(ws: list[str], known: list[tuple | None]) -> tuple[int, float]:
     return n, total
 
 
+def _repeated_words(toks: list[list[str]]) -> list[int]:
+    """Per line its words in runs of RUN_WORDS words, over the ends of lines too, without a
+    number, that the page has MOST_REPEATS times."""
+    flat = [w for ws in toks for w in ws]
+    runs = list(zip(*(flat[k:] for k in range(RUN_WORDS))))
+    met = Counter(runs)
+    inside = [False] * len(flat)
+    for i, x in enumerate(runs):
+        if met[x] >= MOST_REPEATS and "0" not in x:
+            inside[i : i + RUN_WORDS] = [True] * RUN_WORDS
+    ends = list(accumulate(map(len, toks), initial=0))
+    return [sum(inside[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def score_lines(lines: list[str], toks: list[list[str]], rare: dict, hot: dict) -> tuple[float, float, float]:
     """Mean PMI of all known pairs, mean coherence, and the share of characters in stuffed lines.
 
@@ -185,6 +201,7 @@ def score_lines(lines: list[str], toks: list[list[str]], rare: dict, hot: dict)
     page = (sum(x[0] for x in ev), sum(x[1] for x in ev))
     often = Counter(x for ws in toks for x in zip(ws, ws[1:]) if "0" not in x)
     total = sum(often.values())
+    again = _repeated_words(toks) if max(often.values(), default=0) >= MOST_REPEATS else [0] * len(toks)
     kinds: list[bool | None] = []
     for i, (line, ws) in enumerate(zip(lines, toks)):
         urls, tags = _URL.findall(line), _TAG.findall(line)
@@ -197,7 +214,7 @@ def score_lines(lines: list[str], toks: list[list[str]], rare: dict, hot: dict)
             n, c = page
         salad = n > 0 and c / n < LEAST_COHERENCE
         own = [often[x] for x in zip(ws, ws[1:]) if "0" not in x]
-        many = len(own) >= 3 and sum(own) / len(own) >= max(MOST_REPEATS, REPEAT_SHARE * total)
+        many = len(own) >= 3 and (sum(own) / len(own) >= max(MOST_REPEATS, REPEAT_SHARE * total) or 2 * again[i] >= len(ws))
         if urls:
             # A single link behind a sentence belongs to it.
             alone = i > 0 and kinds[-1] is False and not (i + 1 < len(lines) and _URL.search(lines[i + 1]))
@@ -213,7 +230,6 @@ def score_lines(lines: list[str], toks: list[list[str]], rare: dict, hot: dict)
     # A short line between stuffed ones is of their kind.
     kinds = [True if k is False and len(toks[i]) <= 6 and ev[i][0] < 4 and 0 < i < len(kinds) - 1 and kinds[i - 1] and kinds[i + 1] else k for i, k in enumerate(kinds)]
     bad = sum(len(x) for x, k in zip(lines, kinds) if k)
-    bad = bad if bad >= LEAST_CHARS else 0
     good = sum(len(x) for x, k in zip(lines, kinds) if k is False)
     return pmi / max(known, 1), page[1] / max(page[0], 1), bad / max(bad + good, 1)
 

@@ -205,3 +205,14 @@ def test_line_without_known_pairs():
     lines = ["a b c a b c a b c", "one", "two", "three", " ".join(f"w{i}" for i in range(40))]
     assert stuffing.score_lines(lines, [x.split() for x in lines], *salad)[2] > 0.9
     assert stuffing.score_lines(lines[-1:], [lines[-1].split()], {}, {})[2] == 0
+
+
+def test_long_repeated_lines_and_short_pages():
+    """A line of many keywords in fixed order, met again and again, is stuffing; so is a body that is one short list of tags."""
+    order = [f"keyword{chr(97 + i)}" for i in range(26)]
+    known = {x: (100, 0, 0.1) for x in zip(order, order[1:])}
+    for lines in ([" ".join(order)] * 50, [" ".join(order * 50)], [" ".join((order * 50)[i : i + 7]) for i in range(0, 1300, 7)]):
+        assert stuffing.score_lines(lines, [x.split() for x in lines], known, {})[2] > 0.9
+    assert stuffing.score_lines(["#cheap #pills #deals"], [["cheap", "pills", "deals"]], {}, {})[2] == 1
+    once = [" ".join(order), " ".join(order[::2])]
+    assert stuffing.score_lines(once, [x.split() for x in once], known, {})[2] == 0
