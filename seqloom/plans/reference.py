@@ -154,12 +154,21 @@ def forest_reconstruct(spark, sf_dir):
 
 
 def _root_hits(spark, sf_dir):
-    hits = table(spark, sf_dir, "search_hit").filter(F.col("hit_id") % QUERY_STEP == 0).select("hit_id", F.col("node_id").alias("root_id"), (F.col("sstart") - 1).alias("from0"), F.col("send").alias("to0"))
+    hits = table(spark, sf_dir, "search_hit").select("hit_id", F.col("node_id").alias("root_id"), (F.col("sstart") - 1).alias("from0"), F.col("send").alias("to0"))
     return hits.distinct()
 
 
 def forest_prune(spark, sf_dir):
-    got = forest.prune(table(spark, sf_dir, "tree_node"), _root_hits(spark, sf_dir), PRUNE)
+    """Every 20th hit, as its SQL has it; forest_prune_all takes all hits."""
+    return _pruned(spark, sf_dir, _root_hits(spark, sf_dir).filter(F.col("hit_id") % QUERY_STEP == 0))
+
+
+def forest_prune_all(spark, sf_dir):
+    return _pruned(spark, sf_dir, _root_hits(spark, sf_dir))
+
+
+def _pruned(spark, sf_dir, hits):
+    got = forest.prune(table(spark, sf_dir, "tree_node"), hits, PRUNE)
     return got.select("hit_id", "node_id", F.col("from0").cast("long").alias("from0"), F.col("to0").cast("long").alias("to0"))
 
 
@@ -285,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
-        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, candidate_dedupe,
+        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, forest_prune_all, candidate_dedupe,
         align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
         db_append, stream_append, stream_periods,
     )

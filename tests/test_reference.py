@@ -139,6 +139,28 @@ def test_forest_paths(spark):
     assert {r.node_id for r in forest.prune(tree, hits, 0.9).collect()} == {1}
 
 
+@pytest.mark.parametrize("part_hits", [1_000, 2])
+def test_prune_takes_all_hits(spark, part_hits, monkeypatch):
+    """The query over all hits against the SQL without its filter, also with a root's hits in parts."""
+    from collections import Counter
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    sf, duckdb = Path("/root/testdata/sf0.001"), pytest.importorskip("duckdb")
+    if not sf.exists():
+        pytest.skip("the given tables aren't here")
+    monkeypatch.setattr(forest, "PART_HITS", part_hits)
+    con = duckdb.connect()
+    for p in sf.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    sql = entry.oracle_sql()["forest_prune"]
+    assert " WHERE hit_id % 20 = 0" in sql
+    rel = con.sql(sql.replace(" WHERE hit_id % 20 = 0", ""))
+    got = entry.queries()["forest_prune_all"](spark, str(sf)).select(*rel.columns).collect()
+    assert len(got) > 100 and Counter(map(tuple, got)) == Counter(rel.fetchall())
+
+
 def roc(rows):
     p = sum(x for _, x in rows)
     n = len(rows) - p
