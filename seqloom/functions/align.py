@@ -3,6 +3,7 @@ that run them over pairs of columns."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,48 +15,81 @@ def bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("ascii", "replace"), np.uint8)
 
 
+def _reach(r: int, c: int, banded: bool) -> int:
+    return max(r, c) // 4 if banded and r > 11 and c > 11 else max(r, c)
+
+
+def _next_row(up: np.ndarray, row: np.ndarray, i: int, a: np.ndarray, b: np.ndarray, matrix: np.ndarray, gap: int, reach: int, slope: np.ndarray) -> None:
+    """Fills row i of a table (given as zeros) from the one above. A run of gaps is a running maximum."""
+    lo, hi = max(1, i - reach), min(len(b), i + reach)
+    if lo > hi:
+        return
+    y = np.empty(hi - lo + 2, np.int32)
+    y[0] = slope[lo - 1]
+    y[1:] = np.maximum(up[lo - 1 : hi] + matrix[a[i - 1], b[lo - 1 : hi]], up[lo : hi + 1] + gap) + slope[lo : hi + 1]
+    row[lo : hi + 1] = np.maximum.accumulate(y)[1:] - slope[lo : hi + 1]
+
+
 def global_table(a: np.ndarray, b: np.ndarray, matrix: np.ndarray, gap: int, banded: bool) -> np.ndarray:
     """Scores of all prefixes; the borders are 0, so gaps at the start are free. Cells further
     than a quarter of the longer side from the diagonal stay 0 if banded and neither side has
-    ten or fewer residues. One numpy step per row: a run of gaps is a running maximum."""
+    ten or fewer residues. One numpy step per row."""
     r, c = len(a) + 1, len(b) + 1
-    reach = max(r, c) // 4 if banded and r > 11 and c > 11 else max(r, c)
-    table = np.zeros((r, c), np.int32)
-    slope = -gap * np.arange(c, dtype=np.int32)
+    table, slope = np.zeros((r, c), np.int32), -gap * np.arange(c, dtype=np.int32)
     for i in range(1, r):
-        lo, hi = max(1, i - reach), min(c - 1, i + reach)
-        if lo > hi:
-            continue
-        up = table[i - 1]
-        y = np.empty(hi - lo + 2, np.int32)
-        y[0] = slope[lo - 1]
-        y[1:] = np.maximum(up[lo - 1 : hi] + matrix[a[i - 1], b[lo - 1 : hi]], up[lo : hi + 1] + gap) + slope[lo : hi + 1]
-        table[i, lo : hi + 1] = np.maximum.accumulate(y)[1:] - slope[lo : hi + 1]
+        _next_row(table[i - 1], table[i], i, a, b, matrix, gap, _reach(r, c, banded), slope)
     return table
 
 
-def global_align(a: str, b: str, matrix: np.ndarray, gap: int = -4, banded: bool = True) -> tuple[str, str]:
-    """Both texts with gaps. Ties: a diagonal step must beat both gaps, a gap in b the one in a."""
+def _trace(table: np.ndarray, first: int, i: int, j: int, a: str, b: str, matrix: np.ndarray, gap: int, out: list) -> tuple[int, int]:
+    """Steps back from (i, j) to row `first`, that of the table's first row, or to column 0."""
     x, y = bytes_of(a), bytes_of(b)
-    table = global_table(x, y, matrix, gap, banded)
-    i, j, out = len(a), len(b), []
-    while i and j:
-        diagonal, up, left = table[i - 1, j - 1] + matrix[x[i - 1], y[j - 1]], table[i - 1, j] + gap, table[i, j - 1] + gap
+    while i > first and j:
+        k = i - first
+        diagonal, up, left = table[k - 1, j - 1] + matrix[x[i - 1], y[j - 1]], table[k - 1, j] + gap, table[k, j - 1] + gap
         step = (1, 1) if diagonal > max(up, left) else (1, 0) if up > left else (0, 1)
         i, j = i - step[0], j - step[1]
         out.append((a[i] if step[0] else "-", b[j] if step[1] else "-"))
-    head = [(ch, "-") for ch in a[:i]] + [("-", ch) for ch in b[:j]]
-    rows = head + out[::-1]
+    return i, j
+
+
+def _joined(a: str, b: str, i: int, j: int, out: list) -> tuple[str, str]:
+    rows = [(ch, "-") for ch in a[:i]] + [("-", ch) for ch in b[:j]] + out[::-1]
     return "".join(p for p, _ in rows), "".join(q for _, q in rows)
 
 
+def global_align(a: str, b: str, matrix: np.ndarray, gap: int = -4, banded: bool = True) -> tuple[str, str]:
+    """Both texts with gaps. Ties: a diagonal step must beat both gaps, a gap in b the one in a."""
+    out: list = []
+    i, j = _trace(global_table(bytes_of(a), bytes_of(b), matrix, gap, banded), 0, len(a), len(b), a, b, matrix, gap, out)
+    return _joined(a, b, i, j, out)
+
+
 def align_whole(a: str, b: str, matrix: np.ndarray, gap: int = -4, banded: bool = True, block: int = 4_000) -> tuple[str, str]:
-    """As global_align; texts of more than `block` residues are cut into as many pieces each,
-    in proportion, which are aligned one by one, so that a table stays small."""
-    n = max(1, -(-max(len(a), len(b)) // block))
-    cuts = [(len(a) * i // n, len(b) * i // n) for i in range(n + 1)]
-    done = [global_align(a[i:k], b[j:m], matrix, gap, banded) for (i, j), (k, m) in zip(cuts, cuts[1:])]
-    return "".join(p for p, _ in done), "".join(q for _, q in done)
+    """The same as global_align. For texts of more than `block` residues only some rows of the
+    table are kept, about the root of their number; those between two of them are made again
+    on the way back, so that what is held stays small at twice the time."""
+    if max(len(a), len(b)) <= block:
+        return global_align(a, b, matrix, gap, banded)
+    x, y, r, c = bytes_of(a), bytes_of(b), len(a) + 1, len(b) + 1
+    every, reach, slope = math.isqrt(r) + 1, _reach(r, c, banded), -gap * np.arange(c, dtype=np.int32)
+    kept = [np.zeros(c, np.int32)]
+    above = kept[0]
+    for i in range(1, r):
+        row = np.zeros(c, np.int32)
+        _next_row(above, row, i, x, y, matrix, gap, reach, slope)
+        above = row
+        if i % every == 0:
+            kept.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        first = (i - 1) // every * every
+        table = np.zeros((i - first + 1, c), np.int32)
+        table[0] = kept[first // every]
+        for k in range(first + 1, i + 1):
+            _next_row(table[k - first - 1], table[k - first], k, x, y, matrix, gap, reach, slope)
+        i, j = _trace(table, first, i, j, a, b, matrix, gap, out)
+    return _joined(a, b, i, j, out)
 
 
 def percent(a: np.ndarray, b: np.ndarray) -> int:

@@ -106,6 +106,17 @@ def test_long_texts_are_aligned_in_pieces():
         assert p.replace("-", "") == x and q.replace("-", "") == y and len(p) == len(q)
 
 
+def test_long_texts_are_aligned_whole():
+    """As one table gives it, also after an early insertion that would shift every cut."""
+    rng, m = random.Random(2), search.rule_matrix()
+    a = "".join(rng.choice("ACDEFGHIKL") for _ in range(900))
+    b = a[:20] + "".join(rng.choice("MNPQ") for _ in range(150)) + a[20:]
+    noisy = "".join(rng.choice("ACD") if rng.random() < 0.1 else ch for ch in a)
+    for x, y in ((a, b), (b, a), (a, noisy), (a, a[:7]), (a, ""), ("", a)):
+        for banded in (True, False):
+            assert align.align_whole(x, y, m, banded=banded, block=100) == align.global_align(x, y, m, banded=banded)
+
+
 def test_kernels():
     m = search.rule_matrix()
     assert align.global_align("GHIKLMNPQRSTVW", "GAAAHIKLMNPQRSTVW", m) == ("---GHIKLMNPQRSTVW", "GAAAHIKLMNPQRSTVW")
