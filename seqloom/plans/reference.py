@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import align, edits, residue
 from seqloom.functions.text import clean_residues, first_word
-from seqloom.operators import compress, evaluate, forest, hierarchy, search, seeds
+from seqloom.operators import compress, evaluate, forest, hierarchy, intervals, search, seeds
 from seqloom.session import Stage
 from seqloom.sources import fasta
 from seqloom.sources.database import SequenceDatabase
@@ -287,7 +287,7 @@ def stream_periods(spark, sf_dir):
     stage = Stage(spark, "stream")
     rows = jobs.parquet_stream(spark, sf_dir, "hsp").filter("query_from IS NOT NULL AND query_to IS NOT NULL")
     rows = rows.select(first_word("qseqid").alias("qseqid"), F.least("query_from", "query_to").cast("long").alias("lo"), F.greatest("query_from", "query_to").cast("long").alias("hi"))
-    return jobs.stream_intervals(rows, "qseqid", stage).select("qseqid", F.col("lo").alias("period_from"), F.col("hi").alias("period_to"))
+    return intervals.stitch(jobs.stream_intervals(rows, "qseqid", stage), ["qseqid"]).select("qseqid", F.col("lo").alias("period_from"), F.col("hi").alias("period_to"))
 
 
 QUERIES = {

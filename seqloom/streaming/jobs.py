@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seqloom.operators.intervals import TILE, IntervalMap
@@ -15,8 +14,9 @@ from seqloom.session import Stage
 from seqloom.sources.database import SequenceDatabase
 
 
-def interval_states(stream: DataFrame, key: str) -> DataFrame:
-    """key, tile, lo, hi: after each micro-batch the whole map of every tile that changed.
+def interval_changes(stream: DataFrame, key: str) -> DataFrame:
+    """key, tile, lo, hi, sign: after each micro-batch the intervals that a tile's map has won
+    (1) or lost (-1).
 
     stream: key (a text), lo, hi with lo <= hi. The state of a tile is its ordered map, at
     most TILE / 2 disjoint intervals; an insertion is a binary search.
@@ -26,27 +26,29 @@ def interval_states(stream: DataFrame, key: str) -> DataFrame:
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = IntervalMap(*map(list, state.get)) if state.exists else IntervalMap()
+        before = set(zip(held.starts, held.ends))
         for pdf in batches:
             for lo, hi in zip(pdf["lo"].tolist(), pdf["hi"].tolist()):
                 held.insert(lo, hi)
         state.update((held.starts, held.ends))
-        yield pd.DataFrame({key: group[0], "tile": group[1], "lo": held.starts, "hi": held.ends})
+        after = set(zip(held.starts, held.ends))
+        rows = [(*x, 1) for x in after - before] + [(*x, -1) for x in before - after]
+        yield pd.DataFrame({key: group[0], "tile": group[1], **dict(zip(("lo", "hi", "sign"), zip(*rows)))} if rows else {c: [] for c in (key, "tile", "lo", "hi", "sign")})
 
-    return cut.groupBy(key, "tile").applyInPandasWithState(run, f"{key} STRING, tile BIGINT, lo BIGINT, hi BIGINT", "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>", "update", GroupStateTimeout.NoTimeout)
+    return cut.groupBy(key, "tile").applyInPandasWithState(run, f"{key} STRING, tile BIGINT, lo BIGINT, hi BIGINT, sign INT", "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>", "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_intervals(stream: DataFrame, key: str, stage: Stage) -> DataFrame:
-    """Runs the stream to its end; key, tile, lo, hi as the last batch of each tile left them."""
-    spark, out = stream.sparkSession, f"{stage.root}/maps"
+    """Runs the stream to its end; key, tile, lo, hi of all maps, from the changes that the
+    batches wrote. A batch that is run again writes its folder anew."""
+    spark, out = stream.sparkSession, f"{stage.root}/changes"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = interval_states(stream, key).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{stage.root}/progress").trigger(availableNow=True).start()
+    q = interval_changes(stream, key).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{stage.root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.parquet(out)
-    last = F.max("batch").over(W.partitionBy(key, "tile"))
-    return rows.withColumn("last", last).filter("batch = last").select(key, "tile", "lo", "hi")
+    return spark.read.parquet(out).groupBy(key, "tile", "lo", "hi").agg(F.sum("sign").alias("sign")).filter("sign > 0").select(key, "tile", "lo", "hi")
 
 
 def stream_append(stream: DataFrame, db: SequenceDatabase, progress: str) -> None:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,9 +71,30 @@ def test_map(pairs):
     assert m.gaps() == [(a[1] + 1, b[0] - 1) for a, b in zip(runs(points), runs(points)[1:])]
 
 
-def test_gaps_and_periods(spark, monkeypatch):
+def test_runs_of_blocks():
+    rng = random.Random(4)
+    rows = [(rng.randrange(4), a := rng.choice([-(2**62), 0, 2**62]) + rng.randrange(60), a + rng.randrange(8)) for _ in range(300)]
+    row, lo, hi = intervals.merge_runs(*map(np.array, zip(*rows)))
+    want = {k: runs(p) for k, p in covered(rows).items()}
+    assert [(rows[i][0], a, b) for i, a, b in zip(row, lo.tolist(), hi.tolist())] == [(k, *x) for k in sorted(want) for x in want[k]]
+
+
+@pytest.mark.parametrize(("batch", "block", "fan"), [("10000", 200_000, 64), ("3", 10, 1), ("7", 5, 2)])
+def test_gaps_and_periods(spark, monkeypatch, batch, block, fan):
+    """Also with several Arrow batches a task, tiny blocks and a merge tree of several levels."""
     monkeypatch.setattr(intervals, "TILE", 16)
-    monkeypatch.setattr(intervals, "TASK_STATE", 5)
+    monkeypatch.setattr(intervals, "BLOCK_ROWS", block)
+    monkeypatch.setattr(intervals, "FAN", max(fan, 2))
+    monkeypatch.setattr(intervals, "BLOCK_BYTES", 4_000_000 if fan > 2 else 100)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check_gaps_and_periods(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def check_gaps_and_periods(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["hot", "hot", "hot", "x", None]), rng.choice([None, *range(-40, 300)]), None) for _ in range(150)]
     rows = [(k, a, None if a is None or rng.random() < 0.05 else a + rng.randrange(-6, 7)) for k, a, _ in rows]
