@@ -114,7 +114,7 @@ def _put_together(keys: list[str]):
         held: list[pa.Table] = []
         rows = 0
         for b in batches:
-            held.append(pa.Table.from_batches([b]))
+            held.append(pa.table(b.columns, names=b.schema.names))  # without what Spark says of nulls
             rows += len(b)
             if rows >= BLOCK_ROWS:
                 runs = _block_runs(pa.concat_tables(held), keys)

@@ -79,7 +79,7 @@ def test_runs_of_blocks():
     assert [(rows[i][0], a, b) for i, a, b in zip(row, lo.tolist(), hi.tolist())] == [(k, *x) for k in sorted(want) for x in want[k]]
 
 
-@pytest.mark.parametrize(("batch", "block", "fan"), [("10000", 200_000, 64), ("3", 10, 1), ("7", 5, 2)])
+@pytest.mark.parametrize(("batch", "block", "fan"), [("10000", 200_000, 64), ("3", 10, 1), ("7", 5, 2), ("20", 40, 64)])
 def test_gaps_and_periods(spark, monkeypatch, batch, block, fan):
     """Also with several Arrow batches a task, tiny blocks and a merge tree of several levels."""
     monkeypatch.setattr(intervals, "TILE", 16)
