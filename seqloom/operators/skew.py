@@ -24,6 +24,13 @@ def hot_values(counts: DataFrame, key: str, count: str, total: int, share: float
     return [r[0] for r in counts.filter(F.col(count) >= least).select(key).collect()]
 
 
+def hot_keys(df: DataFrame, key: str, rows: int, total: int) -> list:
+    """`hot_values` of a table of `rows` rows itself; where too few for a hot key, no job runs."""
+    if rows < max(HOT_ROWS, HOT_SHARE * total):
+        return []
+    return hot_values(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", total)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
     """Join where `right` has one row per key and `left` any number.
 

@@ -15,7 +15,7 @@ CASE_SHARE = 0.01
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.anomalies(hierarchy.decompose(table(spark, sf_dir, "tree_node")))
+    return hierarchy.anomalies(hierarchy.decompose(table(spark, sf_dir, "tree_node"), segments=False))
 
 
 def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +117,16 @@ SELECT t.start AS node_id,
        CASE WHEN {_SOUND} THEN t.top ELSE list_min(list_slice(t.seen, list_position(t.seen, t.nxt), len(t.seen))) END AS top_id
 FROM tip t JOIN link r ON r.node_id = t.top JOIN link s ON s.node_id = t.start
 WHERE NOT ({_SOUND} AND coalesce(r.is_root, false) AND r.parent IS NULL AND s.depth IS NOT DISTINCT FROM t.steps)""",
+    "p1_nodes": f"""
+WITH RECURSIVE {_WALK},
+sound AS (SELECT w.start, w.here, w.nxt, w.steps FROM walk w JOIN tip t ON t.start = w.start WHERE {_SOUND}),
+size AS (SELECT here AS node_id, count(*) AS size FROM sound GROUP BY here),
+kid AS (SELECT s.start AS node_id, CASE WHEN z.node_id IS NOT NULL THEN s.nxt END AS parent, size.size FROM sound s JOIN size ON size.node_id = s.start LEFT JOIN size z ON z.node_id = s.nxt WHERE s.steps = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, node_id) AS rn, max(size) OVER (PARTITION BY parent) AS top FROM kid WHERE parent IS NOT NULL),
+jump AS (SELECT node_id, rn > 1 AS light, CASE WHEN rn = 1 THEN 1 ELSE 1 + top + coalesce(sum(size) OVER (PARTITION BY parent, rn = 1 ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS far FROM best)
+SELECT s.start AS node_id, t.top AS root_id, CAST(max(t.steps) AS BIGINT) AS depth, max(size.size) - 1 AS n_below, CAST(1 + count(*) FILTER (light) AS BIGINT) AS n_segments,
+       CAST(coalesce(sum(far), 0) AS BIGINT) AS pre, CAST(coalesce(sum(far), 0) + max(size.size) - 1 AS BIGINT) AS last
+FROM sound s JOIN tip t ON t.start = s.start JOIN size ON size.node_id = s.start LEFT JOIN jump ON jump.node_id = s.here GROUP BY s.start, t.top""",
     "p1_paths": f"""
 WITH RECURSIVE {_WALK}
 SELECT start AS node_id, array_to_string(list_reverse(seen), '/') AS path FROM tip t WHERE {_SOUND}""",

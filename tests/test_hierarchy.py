@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,7 +67,12 @@ def shape(kind, n, rng):
     return {i: rng.choice([None, rng.randrange(n)]) if rng.random() < 0.1 else (rng.randrange(i) if i else None) for i in range(n)}
 
 
-def test_shapes(spark, monkeypatch):
+@pytest.mark.parametrize(("tree_nodes", "batch"), [(200_000, 100_000), (0, 1), (40, 10)])
+def test_shapes(spark, monkeypatch, tree_nodes, batch):
+    """Trees labelled whole, by rounds of joins, and some one way and some the other."""
+    monkeypatch.setattr(hi, "TREE_NODES", tree_nodes)
+    monkeypatch.setattr(hi, "BATCH_NODES", batch)
+    monkeypatch.setattr(hi, "CHAIN_BLOCK", 4)
     monkeypatch.setattr("seqloom.operators.skew.HOT_ROWS", 5)
     monkeypatch.setattr(hi, "SIBLING_BLOCK", 7)
     rng = random.Random(5)
