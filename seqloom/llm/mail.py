@@ -145,6 +145,16 @@ def _introduces(lines: list[str], i: int) -> int:
     return 0
 
 
+def readable(line: str) -> str:
+    """The line; if it is UTF-8 that was read as Latin-1, read again."""
+    if line.isascii():
+        return line
+    try:
+        return line.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return line
+
+
 def own_lines(raw: str | None) -> list[str]:
     """Lines of what the sender wrote, shown or hidden: the text parts without quotations and
     what introduces them, signature (from its mark or the closing words on) and disclaimer.
@@ -156,7 +166,7 @@ def own_lines(raw: str | None) -> list[str]:
     out: list[str] = []
     for sub, text, _ in parts(raw):
         body = strip_html(text, links=True) if sub == "html" else text
-        lines = [x for x in (line.strip() for line in body.split("\n")) if x]
+        lines = [x for x in (readable(line).strip() for line in body.split("\n")) if x]
         i, stars = 0, False
         while i < len(lines):
             line = lines[i]
