@@ -19,6 +19,12 @@ def p3_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amount(records, spans.shared_spans(records))
 
 
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record without the spans that another record has too."""
+    records = table(spark, sf_dir, "fasta_sequence")
+    return spans.remove_spans(records, spans.shared_spans(records))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "search_hit").select(first_word("qseqid").alias("qseqid"), "hit_id", "node_id", "evalue", "bitscore")
     return hits.filter("qseqid IS NOT NULL AND NOT isnan(evalue) AND evalue >= 0 AND bitscore IS NOT NULL AND hit_id IS NOT NULL")
@@ -70,7 +76,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.score_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amount, p5_found, p5_ranked, p6_found, p6_items, p6_clean, p7_chosen, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_amount, p3_clean, p5_found, p5_ranked, p6_found, p6_items, p6_clean, p7_chosen, p7_shares, p8_found, p8_scores)}
 
 _CLEAN = r"""
 raw AS (SELECT seq_id, max(upper(regexp_replace(coalesce(residues, ''), '[^A-Za-z]', '', 'g'))) AS t FROM fasta_sequence WHERE seq_id IS NOT NULL GROUP BY seq_id)"""
@@ -96,6 +102,11 @@ SQL = {
     "p3_amount": f"""
 WITH {_SHARED}, per AS (SELECT seq_id, sum(span_to - span_from + 1) AS s FROM span GROUP BY seq_id)
 SELECT seq_id, length(t) AS n_residues, CAST(coalesce(s, 0) AS BIGINT) AS n_shared FROM raw LEFT JOIN per USING (seq_id)""",
+    "p3_clean": f"""
+WITH {_SHARED}, cut AS (SELECT seq_id, span_from, span_to, coalesce(lag(span_to) OVER (PARTITION BY seq_id ORDER BY span_from), 0) AS done FROM span),
+per AS (SELECT seq_id, string_agg(substr(t, done + 1, span_from - 1 - done), '' ORDER BY span_from) AS front, max(span_to) AS last FROM cut JOIN raw USING (seq_id) GROUP BY seq_id),
+whole AS (SELECT seq_id, t, CASE WHEN front IS NULL THEN t ELSE front || substr(t, last + 1) END AS residues FROM raw LEFT JOIN per USING (seq_id))
+SELECT seq_id, residues, length(t) - length(residues) AS n_removed FROM whole""",
     "p5_found": _TOP.format(rank="", n=5),
     "p5_ranked": _TOP.format(rank=", rank", n=20),
 }

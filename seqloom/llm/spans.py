@@ -11,9 +11,11 @@ documents. Here documents meet only the shard that can match them:
    texts, knows for each state the smallest and largest class that contains it; streaming a
    window through it gives the matching statistics against all other classes, and the places
    where they reach MIN_SPAN.
-4. Anchors with more than CROWD distinct windows (low complexity) would make one large
-   automaton: there each run of MIN_SPAN residues is grouped by its text instead, exactly.
-5. Spans of a record are put together to maximal runs.
+4. A shard of more than SHARD distinct windows (low complexity) is split by what stands beside
+   the anchor: runs that begin a to b residues before it have a residues on its left and
+   MIN_SPAN - ANCHOR - b on its right in common, so each range of beginnings has shards of
+   its own. Ranges are halved until shards are small; at one beginning a shard is one text.
+5. Spans of a record are put together to maximal runs; `remove_spans` takes them out.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from seqloom.session import Stage
 MIN_SPAN = 40
 #: Length of an anchor; each run of MIN_SPAN holds MIN_SPAN - ANCHOR + 1 of them.
 ANCHOR = 20
-#: Distinct windows that one automaton takes.
-CROWD = 2_000
+#: Distinct windows of one shard, about 60 residues each; larger shards are split.
+SHARD = 2_000
 
 
 class Automaton:
@@ -133,7 +135,7 @@ def _shard_spans(texts: list[str], owners: list[tuple[int, int]], least: int) ->
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: one automaton after the other."""
+    """Rows sorted by shard: one automaton after the other."""
     key, texts, owners, out = None, [], [], []
 
     def close() -> None:
@@ -142,7 +144,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*out)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["anchor", "window", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["shard", "window", "a", "b"])
 
     for batch in batches:
         for k, t, low, high in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -159,7 +161,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield flush()
 
 
-def shared_spans(records: DataFrame, least: int = MIN_SPAN, crowd: int = CROWD) -> DataFrame:
+def shared_spans(records: DataFrame, least: int = MIN_SPAN, shard: int = SHARD) -> DataFrame:
     """seq_id, span_from, span_to: maximal runs of positions (1-based, both included) that
     lie in a run of `least` clean residues which also occurs in another record.
 
@@ -170,9 +172,7 @@ def shared_spans(records: DataFrame, least: int = MIN_SPAN, crowd: int = CROWD)
     half = least - ANCHOR
     if half < 0:
         raise ValueError(f"spans must have at least {ANCHOR} residues")
-    recs = records.filter("seq_id IS NOT NULL").select(F.col("seq_id").cast("long").alias("seq_id"), clean_residues("residues").alias("text"))
-    recs = recs.groupBy("seq_id").agg(F.max("text").alias("text")).filter(F.length("text") >= least)
-    recs = stage.save(recs.select("seq_id", "text", F.md5("text").alias("key")), "records")
+    recs = stage.save(clean_records(records).filter(F.length("text") >= least).select("seq_id", "text", F.md5("text").alias("key")), "records")
     classes = recs.groupBy("key").agg(F.min("seq_id").alias("owner"), F.count(F.lit(1)).alias("n"))
     classes = stage.save(classes, "classes")
     many = classes.filter("n > 1").select("key", F.lit(True).alias("many"))
@@ -183,58 +183,54 @@ def shared_spans(records: DataFrame, least: int = MIN_SPAN, crowd: int = CROWD)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owners, hashes = [], []
+            got: list[tuple] = []
             for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = np.unique(minimizers(t.encode(), ANCHOR, least)[1])
-                owners.append(np.full(len(h), o, np.int64))
-                hashes.append(h)
-            if owners:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(owners))], ["anchor", "owner"])
+                pos, h = minimizers(t.encode(), ANCHOR, least)
+                got.append((h, np.full(len(h), o, np.int64), pos.astype(np.int32)))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["shard", "owner", "pos"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "window", "owner", "start"]
+        names = ["shard", "window", "owner", "start", "off"]
         for b in batches:
             rows: list[tuple] = []
             for o, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                pos, h = minimizers(t.encode(), ANCHOR, least)
-                keep = np.isin(h, wanted.values.to_numpy())
-                for p, x in zip(pos[keep].tolist(), h[keep].tolist()):
+                anchors, places = (wanted.values.field(i).to_pylist() for i in range(2))
+                for x, p in zip(anchors, places):
                     a = max(0, p - half)
-                    rows.append((x, t[a : p + least], o, a))
+                    rows.append((x, t[a : p + least], o, a, p - a))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
-    found = stage.save(texts.select("owner", "text").mapInArrow(find, "anchor BIGINT, owner BIGINT"), "anchors")
-    per = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    per = stage.save(per, "shared_anchors")
-    hot = hot_values(per, "anchor", "n", per.agg(F.sum("n")).first()[0] or 0)
-    wanted = hot_join(found, per.select("anchor"), "anchor", hot, "inner").groupBy("owner").agg(F.collect_list("anchor").alias("wanted"))
-    windows = texts.join(wanted, "owner").select("owner", "text", "wanted").mapInArrow(cut, "anchor BIGINT, window STRING, owner BIGINT, start BIGINT")
+    found = stage.save(texts.select("owner", "text").mapInArrow(find, "shard BIGINT, owner BIGINT, pos INT"), "anchors")
+    per = found.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high")
+    per = stage.save(per.select("shard", "n"), "shared_anchors")
+    hot = hot_values(per, "shard", "n", per.agg(F.sum("n")).first()[0] or 0)
+    wanted = hot_join(found, per.select("shard"), "shard", hot, "inner").groupBy("owner").agg(F.collect_list(F.struct("shard", "pos")).alias("wanted"))
+    windows = texts.join(wanted, "owner").select("owner", "text", "wanted").mapInArrow(cut, "shard BIGINT, window STRING, owner BIGINT, start BIGINT, off BIGINT")
     windows = stage.save(windows, "windows")
     stage.drop("anchors", "shared_anchors")
 
-    distinct = windows.groupBy("anchor", "window").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count(F.lit(1)).alias("n"))
-    distinct = stage.save(distinct, "distinct")
-    crowded = stage.save(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd).select("anchor"), "crowded")
-    calm = distinct.join(crowded, "anchor", "left_anti").select("anchor", "window", "low", "high")
-    sharded = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _grouped(it, least), "anchor BIGINT, window STRING, a INT, b INT")
-    sharded = stage.save(sharded.groupBy("anchor", "window").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumn("wkey", F.xxhash64("anchor", "window")), "sharded")
-    at = windows.withColumn("wkey", F.xxhash64("anchor", "window"))
-    hot = hot_values(distinct.withColumn("wkey", F.xxhash64("anchor", "window")), "wkey", "n", windows.count())
-    told = hot_join(at, sharded.select("wkey", F.col("window").alias("same"), "spans"), "wkey", hot, "inner").filter("window = same")
-    spans = told.select("owner", "start", F.explode("spans").alias("s")).select("owner", (F.col("start") + F.col("s.a") + 1).alias("lo"), (F.col("start") + F.col("s.b") + 1).alias("hi"))
-
-    # Crowded anchors: every run of `least` residues by its text.
-    runs = windows.join(crowded, "anchor", "left_semi").filter(F.length("window") >= least)
-    runs = runs.select("owner", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("window") - least + 1), lambda i: F.col("window").substr(i, F.lit(least)))).alias("i", "run"))
-    both = runs.groupBy("run").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("run")
-    more = runs.join(both, "run", "left_semi").select("owner", (F.col("start") + F.col("i") + 1).alias("lo"), (F.col("start") + F.col("i") + least).alias("hi"))
+    ranges, at, spans = [(0, half)], windows, []
+    while at is not None:
+        # At one beginning a shard holds one text, so there is nothing left to split.
+        told, crowded = _matched(stage, at, least, shard if any(a < b for a, b in ranges) else 2**31, len(spans))
+        spans.append(told)
+        ranges = [x for a, b in ranges for x in ([(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if a < b else [(a, b)])]
+        at = None
+        if crowded is not None:
+            # Back to the anchors' whole windows: what was split once is split anew, finer.
+            windows = stage.save(windows.join(crowded.select("anchor").distinct().withColumnRenamed("anchor", "shard"), "shard", "left_semi"), f"crowd{len(spans)}")
+            at = _split(windows, ranges, least)
 
     single = classes.filter("n = 1").select("owner")
-    every = spans.unionByName(more).distinct().join(single, "owner", "left_semi")
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    every = every.distinct().join(single, "owner", "left_semi")
     w = W.partitionBy("owner").orderBy("lo", "hi")
     upto = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
     isles = every.withColumn("new", (F.coalesce(F.col("lo") > upto + 1, F.lit(True))).cast("int")).withColumn("isle", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -242,6 +238,56 @@ def shared_spans(records: DataFrame, least: int = MIN_SPAN, crowd: int = CROWD)
     return joined.select(F.col("owner").alias("seq_id"), F.col("span_from").cast("int"), F.col("span_to").cast("int")).unionByName(whole.select("seq_id", "span_from", "span_to"))
 
 
+def _split(windows: DataFrame, ranges: list[tuple[int, int]], least: int) -> DataFrame:
+    """The windows' parts for each range of beginnings (residues before the anchor), in shards
+    of what all runs of that range have in common."""
+    off, n = F.col("off"), F.length("window")
+    parts = []
+    for a, b in ranges:
+        lo, hi = F.greatest(off - b, F.lit(0)), F.least(off + least - a, n)
+        text = lambda x, y: F.col("window").substr((x + 1).cast("int"), (y - x).cast("int"))
+        fits = (off >= a) & (off + least - b <= n)
+        common = F.xxhash64(F.lit(a), text(off - a, off + least - b))
+        parts.append(F.when(fits, F.struct(common.alias("shard"), text(lo, hi).alias("window"), (F.col("start") + lo).alias("start"))))
+    got = windows.select("owner", F.col("shard").alias("anchor"), F.explode(F.array(*parts)).alias("p")).filter("p IS NOT NULL")
+    return got.select("anchor", "p.shard", "p.window", "owner", "p.start")
+
+
+def _matched(stage: Stage, at: DataFrame, least: int, shard: int, level: int) -> tuple[DataFrame, DataFrame | None]:
+    """(owner, lo, hi of the spans in shards that aren't too large, the anchors of the others)."""
+    at = at.withColumn("anchor", F.col("shard")) if level == 0 else stage.save(at, f"parts{level}")
+    distinct = at.groupBy("shard", "window").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"))
+    distinct = stage.save(distinct, f"distinct{level}")
+    crowded = stage.save(distinct.groupBy("shard").agg(F.count(F.lit(1)).alias("m"), F.min("anchor").alias("anchor")).filter(F.col("m") > shard).select("shard", "anchor"), f"crowded{level}")
+    calm = distinct.join(crowded.select("shard"), "shard", "left_anti").select("shard", "window", "low", "high")
+    sharded = calm.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _grouped(it, least), "shard BIGINT, window STRING, a INT, b INT")
+    sharded = stage.save(sharded.groupBy("shard", "window").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumn("wkey", F.xxhash64("shard", "window")), f"sharded{level}")
+    keyed = at.select("owner", "start", "window", F.xxhash64("shard", "window").alias("wkey"))
+    hot = hot_values(distinct.withColumn("wkey", F.xxhash64("shard", "window")), "wkey", "n", at.count())
+    told = hot_join(keyed, sharded.select("wkey", F.col("window").alias("same"), "spans"), "wkey", hot, "inner").filter("window = same")
+    spans = told.select("owner", "start", F.explode("spans").alias("s")).select("owner", (F.col("start") + F.col("s.a") + 1).alias("lo"), (F.col("start") + F.col("s.b") + 1).alias("hi"))
+    return spans, None if crowded.isEmpty() else crowded
+
+
+def clean_records(records: DataFrame) -> DataFrame:
+    """seq_id, text: clean residues, one row per seq_id (the largest text)."""
+    named = records.filter("seq_id IS NOT NULL").select(F.col("seq_id").cast("long").alias("seq_id"), clean_residues("residues").alias("text"))
+    return named.groupBy("seq_id").agg(F.max("text").alias("text"))
+
+
+def remove_spans(records: DataFrame, spans: DataFrame) -> DataFrame:
+    """seq_id, residues, n_removed: every record without the given maximal spans (of one record
+    they neither overlap nor touch). Records without spans stay whole, empty ones empty."""
+    per = spans.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("span_from", "span_to"))).alias("s"))
+    text, s = F.col("text"), F.col("s")
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["span_to"])
+    kept = F.transform(s, lambda x, i: text.substr(before(i) + 1, x["span_from"] - 1 - before(i)))
+    last = text.substr(F.element_at(s, -1)["span_to"] + 1, F.length(text))
+    left = F.when(s.isNull(), text).otherwise(F.concat(F.array_join(kept, ""), last))
+    full = clean_records(records).join(per, "seq_id", "left").select("seq_id", left.alias("residues"), F.length(text).alias("n"))
+    return full.select("seq_id", "residues", (F.col("n") - F.length("residues")).cast("long").alias("n_removed"))
+
+
 def shared_amount(records: DataFrame, spans: DataFrame) -> DataFrame:
     """seq_id, n_residues, n_shared of every record."""
     clean = records.filter("seq_id IS NOT NULL").groupBy(F.col("seq_id").cast("long").alias("seq_id")).agg(F.max(F.length(clean_residues("residues"))).cast("long").alias("n_residues"))

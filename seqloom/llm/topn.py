@@ -20,13 +20,12 @@ def top_n(df: DataFrame, group: str, order: list[Column], item: str, n: int, sal
     """group, item, rank: the first n items of each group in `order`, which must end with the
     item so that ties fall the same way each time.
 
-    `order` must be equal in all rows of an item; repeated rows then share a dense rank and
-    count once. A null group is a group of its own; filter before if it shouldn't count.
+    Repeated rows of an item count once; they are put together in the map tasks first, so an
+    item that is loaded a million times doesn't reach one task. `order` must be equal in all
+    rows of an item. A null group is a group of its own; filter before if it shouldn't count.
     Groups with fewer than n items come whole; an empty table gives an empty table.
     """
-    sub = W.partitionBy(group, "_salt").orderBy(*order)
-    kept = df.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts))).withColumn("_rank", F.dense_rank().over(sub)).filter(F.col("_rank") <= n)
-    kept = kept.drop("_rank", "_salt")
-    final = W.partitionBy(group).orderBy(*order)
-    ranked = kept.withColumn("rank", F.dense_rank().over(final)).filter(F.col("rank") <= n)
-    return ranked.select(group, item, "rank").distinct()
+    once = df.dropDuplicates([group, item]).withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)))
+    kept = once.withColumn("_rank", F.row_number().over(W.partitionBy(group, "_salt").orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank", "_salt")
+    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
+    return ranked.select(group, item, "rank")

@@ -61,16 +61,16 @@ def family(rng, n):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
-def test_spans(spark, crowd, monkeypatch):
+@pytest.mark.parametrize("shard", [2000, 2, 1])
+def test_spans(spark, shard, monkeypatch):
     monkeypatch.setattr("seqloom.operators.skew.HOT_ROWS", 10)
-    rng = random.Random(crowd)
+    rng = random.Random(shard)
     recs = family(rng, 40)
     recs |= {100: recs[0], 101: recs[0], 102: "", 103: "ACD" * 13, 104: "W" * 300, 105: "W" * 39, 106: "".join(rng.choice("ACDEFGHIKL") for _ in range(3000))}
     rows = [(s, t.lower() if s % 3 else " ".join(t) + "*\n", "x") for s, t in recs.items()]
     rows += rows[:10] + [(None, "A" * 50, "x"), (200, None, "x")]
     df = spark.createDataFrame(rows, "seq_id BIGINT, residues STRING, owner STRING")
-    got = [(r.seq_id, r.span_from, r.span_to) for r in spans.shared_spans(df, crowd=crowd).collect()]
+    got = [(r.seq_id, r.span_from, r.span_to) for r in spans.shared_spans(df, shard=shard).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(recs, 40)
     assert spans.shared_spans(df.limit(0)).count() == 0
