@@ -96,38 +96,76 @@ def percent(a: np.ndarray, b: np.ndarray) -> int:
     return 100 * int((a == b).sum()) // len(a) if len(a) else 0
 
 
-def ungapped_length(a: np.ndarray, b: np.ndarray, window: int, k: int, identity: int) -> int:
-    """Residues taken by growing from one run of k equal residues to the next, each found
-    within `window` positions; what lies between must reach the identity."""
-    n = min(len(a), len(b))
-    equal = (a[:n] == b[:n]).tolist()
-    taken = at = run = 0
-    budget = window
-    while at < n and budget:
-        run = run + 1 if equal[at] else 0
-        at, budget = at + 1, budget - 1
-        if run == k:
-            if at - k > taken and percent(a[taken : at - k], b[taken : at - k]) < identity:
-                run -= 1
-            else:
-                taken, run, budget = at, 0, window
+#: Residues that ungapped growth looks at before it looks further.
+_LOOK = 4_096
+
+
+def ungapped_growth(a: np.ndarray, b: np.ndarray, window: int, k: int, identity: int) -> int:
+    """How far two texts side by side grow together: from one run of k equal residues to the
+    first end of another at most `window` positions on, provided that what is skipped between
+    them reaches the identity (whole percent, rounded down).
+
+    Ends of runs and mismatches are found for a stretch at once; skipped parts are told by
+    differences of running counts."""
+    n, taken = min(len(a), len(b)), 0
+    while n - taken >= k:
+        same = a[taken : min(n, taken + _LOOK)] == b[taken : min(n, taken + _LOOK)]
+        size, last = len(same), taken + _LOOK >= n
+        count = np.concatenate([[0], np.cumsum(same)])
+        ends = np.flatnonzero(count[k:] - count[:-k] == k) + k
+        apart = np.append(np.flatnonzero(~same), size)
+        at = 0
+        while last or at < size - window:
+            run = int(apart[np.searchsorted(apart, at)]) - at
+            if run >= k and window >= k:
+                at += run // k * k
+                continue
+            near = ends[np.searchsorted(ends, at + k) : np.searchsorted(ends, at + window, "right")]
+            skipped = near - k - at
+            fine = (skipped == 0) | (100 * (count[near - k] - count[at]) // np.maximum(skipped, 1) >= identity)
+            if not fine.any():
+                return taken + at
+            at += int(near[np.argmax(fine)]) - at
+        taken += at
+        if last:
+            break
     return taken
 
 
-def extend_match(a: str, b: str, matrix: np.ndarray, gapped: int = 25, ungapped: int = 10, k: int = 4, identity: int = 60, gap: int = -4) -> tuple[str, str]:
-    """Starts of both texts that match: ungapped growth, then a global alignment of the next
-    `gapped` residues as long as it reaches the identity."""
+def pieces_of(p: str, q: str) -> list[tuple[int, int, int]]:
+    """(from in a, from in b, length) of the columns of an alignment without a gap."""
+    x, y = bytes_of(p) != 45, bytes_of(q) != 45
+    both = np.concatenate([[False], x & y, [False]]).astype(np.int8)
+    first, last = np.flatnonzero(np.diff(both) == 1), np.flatnonzero(np.diff(both) == -1)
+    i, j = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(y)])
+    return [(int(i[f]), int(j[f]), int(e - f)) for f, e in zip(first, last)]
+
+
+def gapped_growth(a: str, b: str, matrix: np.ndarray, gapped: int = 25, ungapped: int = 10, k: int = 4, identity: int = 60, gap: int = -4) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """(residues of a, residues of b, pieces without a gap) of the starts that match: ungapped
+    growth in turn with a global alignment of the next `gapped` residues of both, until one
+    text ends or an alignment misses the identity."""
     x, y, i, j = bytes_of(a), bytes_of(b), 0, 0
-    while i < len(a) and j < len(b):
-        n = ungapped_length(x[i:], y[j:], ungapped, k, identity)
+    pieces: list[tuple[int, int, int]] = []
+
+    def add(u: int, v: int, n: int) -> None:
+        if pieces and pieces[-1][0] + pieces[-1][2] == u and pieces[-1][1] + pieces[-1][2] == v:
+            u, v, n = pieces[-1][0], pieces[-1][1], pieces.pop()[2] + n
+        if n:
+            pieces.append((u, v, n))
+
+    while True:
+        n = ungapped_growth(x[i:], y[j:], ungapped, k, identity)
+        add(i, j, n)
         i, j = i + n, j + n
         if i == len(a) or j == len(b):
-            break
+            return i, j, pieces
         p, q = global_align(a[i : i + gapped], b[j : j + gapped], matrix, gap)
         if percent(bytes_of(p), bytes_of(q)) < identity:
-            break
+            return i, j, pieces
+        for u, v, n in pieces_of(p, q):
+            add(i + u, j + v, n)
         i, j = i + len(p) - p.count("-"), j + len(q) - q.count("-")
-    return a[:i], b[:j]
 
 
 def xdrop(a: str, i: int, b: str, j: int, k: int, matrix: np.ndarray, drop: int = 12) -> tuple[int, int, int, int]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCRIPT = "ARRAY<STRUCT<kind: STRING, start: INT, end: INT, residues: STRING>>"
+OPERATIONS = "ARRAY<STRUCT<op: STRING, pos: INT, ch: STRING>>"
 
 
 def _col(c: Column | str) -> Column:

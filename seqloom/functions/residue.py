@@ -1,7 +1,9 @@
-"""Residue, k-mer and identity functions as Spark columns; nothing here leaves the JVM."""
+"""Residue, k-mer and identity functions as Spark columns, which don't leave the JVM; scores of
+residue pairs."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ REDUCED_LETTERS = "LVIMCAGSTPFYWEDNQBZKRH"
 REDUCED_GROUPS = "1111234556777888888990"
 
 
+def rule_matrix(same: int = 5, group: int = 1, other: int = -3) -> np.ndarray:
+    """Scores by rule for all byte values: equal letters, letters of one reduced group, others."""
+    m = np.full((128, 128), other, np.int32)
+    groups = dict(zip(REDUCED_LETTERS, REDUCED_GROUPS))
+    for a in ALPHABET:
+        for b in ALPHABET:
+            if a == b:
+                m[ord(a), ord(b)] = same
+            elif a in groups and groups.get(a) == groups.get(b):
+                m[ord(a), ord(b)] = group
+    return m
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -26,11 +26,13 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_id, a, b: each sequence and the one with the next id, both cut to the shorter."""
+    """seq_id, a, b: each sequence and the one with the next id, side by side; the shorter is
+    filled up with gaps, so that scripts insert or delete what the other has more."""
     s = sequences(spark, sf_dir)
     nxt = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("residues").alias("next"))
-    n = F.least(F.length("residues"), F.length("next"))
-    return s.join(nxt, "seq_id").select("seq_id", F.col("residues").substr(F.lit(1), n).alias("a"), F.col("next").substr(F.lit(1), n).alias("b"))
+    n = F.greatest(F.length("residues"), F.length("next"))
+    full = lambda c: F.rpad(F.col(c), n, F.lit("-"))
+    return s.join(nxt, "seq_id").select("seq_id", full("residues").alias("a"), full("next").alias("b"))
 
 
 def seq_normalise(spark, sf_dir):
@@ -107,21 +109,35 @@ def edit_text(spark, sf_dir):
 
 def edit_roundtrip(spark, sf_dir):
     script = edits.parse(edits.to_text(edits.build("a", "b")))
-    return _neighbours(spark, sf_dir).select("seq_id", edits.apply(script, "a").alias("residues"))
+    return _neighbours(spark, sf_dir).select("seq_id", edits.apply(script, _ungapped("a")).alias("residues"))
 
 
 def edit_forest_roundtrip(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("seq_id", edits.apply_forest(edits.forest_ops("a", "b"), "a").alias("residues"))
+    return _neighbours(spark, sf_dir).select("seq_id", edits.apply_forest(edits.forest_ops("a", "b"), _ungapped("a")).alias("residues"))
 
 
-def nw_alignment(spark, sf_dir):
-    """Each sequence aligned with the next, and both again without the gaps."""
+def _ungapped(c):
+    return F.replace(c, F.lit("-"), F.lit(""))
+
+
+def _nw(spark, sf_dir):
     s = sequences(spark, sf_dir)
     nxt = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("residues").alias("b"))
-    got = align.align_pairs(s.withColumnRenamed("residues", "a").join(nxt, "seq_id"), "a", "b", search.rule_matrix())
+    return align.align_pairs(s.withColumnRenamed("residues", "a").join(nxt, "seq_id"), "a", "b", residue.rule_matrix())
+
+
+def nw_alignment(spark, sf_dir):
+    """Each sequence aligned with the next, and both again without the gaps."""
+    got = _nw(spark, sf_dir)
     return got.select("seq_id", F.replace("aligned_a", F.lit("-"), F.lit("")).alias("a"), F.replace("aligned_b", F.lit("-"), F.lit("")).alias("b"), (F.length("aligned_a") == F.length("aligned_b")).alias("even"))
 
 
+def nw_columns(spark, sf_dir):
+    """Columns, equal columns and gaps of those alignments."""
+    got, gaps = _nw(spark, sf_dir), lambda c: F.length(c) - residue.ungapped_length(c)
+    return got.select("seq_id", F.length("aligned_a").alias("n_columns"), residue.matches("aligned_a", "aligned_b").alias("n_equal"), gaps("aligned_a").alias("gaps_a"), gaps("aligned_b").alias("gaps_b"))
+
+
 def flat_roundtrip(spark, sf_dir):
     coarse, segments = compress.compress_flat(sequences(spark, sf_dir))
     return compress.decompress(coarse, segments)
@@ -294,7 +310,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
-        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, forest_prune_all, candidate_dedupe,
+        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, nw_columns, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, forest_prune_all, candidate_dedupe,
         align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
         db_append, stream_append, stream_periods,
     )

@@ -11,7 +11,8 @@ s AS (SELECT seq_id, max(translate(upper(regexp_replace(coalesce(residues, ''),
 _P = (
     _S
     + """,
-p AS (SELECT s.seq_id, left(s.residues, least(length(s.residues), length(t.residues))) AS a, left(t.residues, least(length(s.residues), length(t.residues))) AS b
+p AS (SELECT s.seq_id, length(s.residues) AS n_old, t.residues AS new, rpad(s.residues, CAST(greatest(length(s.residues), length(t.residues)) AS INT), '-') AS a,
+             rpad(t.residues, CAST(greatest(length(s.residues), length(t.residues)) AS INT), '-') AS b
       FROM s JOIN s t ON t.seq_id = s.seq_id + 1)"""
 )
 _LETTERS = "ABCDEFGHIKLMNPQRSTVWXYZ"
@@ -84,13 +85,14 @@ SELECT seq_id, CASE WHEN n = 0 THEN 0 ELSE n_equal * 100 // n END AS percent, n_
 WITH {_P}, d AS (SELECT seq_id, a, b, d, length(a) - abs(d) AS n, greatest(-d, 0) AS x, greatest(d, 0) AS y FROM p, range(-5, 6) r(d))
 SELECT seq_id, round(max(CASE WHEN n > 0 THEN len(list_filter(range(1, n + 1), lambda i: substr(a, x + i, 1) = substr(b, y + i, 1))) / n ELSE 0.0 END), 6) AS share FROM d GROUP BY seq_id""",
     "edit_text": f"""
-WITH {_P}, c AS (SELECT seq_id, i, substr(b, i, 1) AS y, substr(a, i, 1) = substr(b, i, 1) AS same FROM p, range(1, length(a) + 1) r(i)),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id ORDER BY i) AS k FROM c WHERE NOT same),
-m AS (SELECT seq_id, min(i) - 1 AS at_, string_agg(y, '' ORDER BY i) AS body FROM g GROUP BY seq_id, k),
-d AS (SELECT seq_id, at_, 's' || CAST(at_ - coalesce(lag(at_) OVER (PARTITION BY seq_id ORDER BY at_), 0) AS VARCHAR) || body AS piece FROM m)
-SELECT p.seq_id, coalesce(string_agg(piece, '' ORDER BY at_), '') AS script FROM p LEFT JOIN d ON d.seq_id = p.seq_id GROUP BY p.seq_id""",
-    "edit_roundtrip": f"WITH {_P} SELECT seq_id, b AS residues FROM p",
-    "edit_forest_roundtrip": f"WITH {_P} SELECT seq_id, b AS residues FROM p",
+WITH {_P}, c AS (SELECT seq_id, i, n_old, substr(a, i, 1) AS x, substr(b, i, 1) AS y FROM p, range(1, length(a) + 1) r(i)),
+k AS (SELECT *, CASE WHEN x = '-' THEN 'i' WHEN y = '-' THEN 'd' ELSE 's' END AS kind FROM c WHERE x <> y),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, kind ORDER BY i) AS k FROM k),
+m AS (SELECT seq_id, kind, least(min(i) - 1, any_value(n_old)) AS at_, string_agg(y, '' ORDER BY i) AS body FROM g GROUP BY seq_id, kind, k),
+d AS (SELECT seq_id, at_, kind, kind || CAST(at_ - coalesce(lag(at_) OVER (PARTITION BY seq_id ORDER BY at_, kind DESC), 0) AS VARCHAR) || body AS piece FROM m)
+SELECT p.seq_id, coalesce(string_agg(piece, '' ORDER BY at_, kind DESC), '') AS script FROM p LEFT JOIN d ON d.seq_id = p.seq_id GROUP BY p.seq_id""",
+    "edit_roundtrip": f"WITH {_P} SELECT seq_id, new AS residues FROM p",
+    "edit_forest_roundtrip": f"WITH {_P} SELECT seq_id, new AS residues FROM p",
     "nw_alignment": f"WITH {_S} SELECT s.seq_id, s.residues AS a, t.residues AS b, true AS even FROM s JOIN s t ON t.seq_id = s.seq_id + 1",
     "flat_roundtrip": _GIVEN,
     "forest_roundtrip": _GIVEN,

@@ -120,8 +120,9 @@ def test_long_texts_are_aligned_whole():
 def test_kernels():
     m = search.rule_matrix()
     assert align.global_align("GHIKLMNPQRSTVW", "GAAAHIKLMNPQRSTVW", m) == ("---GHIKLMNPQRSTVW", "GAAAHIKLMNPQRSTVW")
-    assert align.ungapped_length(*map(align.bytes_of, ("ABCDEFXH", "ABCDEFYZ")), 10, 3, 50) == 6
-    assert align.extend_match("ABCDEFGHIKLM", "ABCDEFGHIKLM", m) == ("ABCDEFGHIKLM",) * 2
+    assert align.ungapped_growth(*map(align.bytes_of, ("ABCDEFXH", "ABCDEFYZ")), 10, 3, 50) == 6
+    assert align.gapped_growth("ABCDEFGHIKLM", "ABCDEFGHIKLM", m) == (12, 12, [(0, 0, 12)])
+    assert align.gapped_growth("ACDEFGHIKLWWWWMNPQRSTVY" * 3, "ACDEFGHIKLMNPQRSTVYACDEFGHIKLMNPQRSTVY", m)[2][:2] == [(0, 0, 10), (14, 10, 19)]
     assert align.xdrop("AACDEFKK", 2, "GGCDEFHH", 2, 3, m) == (2, 6, 2, 6)
 
 
@@ -136,3 +137,43 @@ def test_minimizers_follow_the_text():
         seen.append({x for p, x in zip(pos.tolist(), h.tolist()) if at <= p <= at + 20})
     assert set.intersection(*seen)
     assert len(minimizers.minimizers(b"A" * 39, 20, 40)[0]) == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("AB", max_size=40), st.text("AB", max_size=40), st.integers(1, 12), st.integers(1, 5), st.integers(0, 100))
+def test_ungapped_growth_by_hand(a, b, window, k, identity):
+    """The best next run of k among all that are near, looked for place by place."""
+    n, taken = min(len(a), len(b)), 0
+    while True:
+        for end in range(taken + k, min(n, taken + window) + 1):
+            between = [a[i] == b[i] for i in range(taken, end - k)]
+            if a[end - k : end] == b[end - k : end] and (not between or 100 * sum(between) // len(between) >= identity):
+                taken = end
+                break
+        else:
+            break
+    for look in (4_096, window + k + 1):
+        align._LOOK = look
+        try:
+            assert align.ungapped_growth(align.bytes_of(a), align.bytes_of(b), window, k, identity) == taken
+        finally:
+            align._LOOK = 4_096
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ABC", max_size=30), max_size=6), st.integers(1, 5), st.integers(0, 6))
+def test_batch_minimizers(texts, k, more):
+    span, chunk = k + more, minimizers._CHUNK
+    for size in (chunk, 20):
+        minimizers._CHUNK = size
+        try:
+            got = set(zip(*map(np.ndarray.tolist, minimizers.batch_minimizers([t.encode() for t in texts], k, span))))
+        finally:
+            minimizers._CHUNK = chunk
+        want = set()
+        for i, t in enumerate(texts):
+            h = [int(minimizers._hashes(np.frombuffer(t[j : j + k].encode(), np.uint8), k)[0].astype(np.int64)) for j in range(len(t) - k + 1)]
+            for j in range(len(t) - span + 1):
+                p = min(range(j, j + span - k + 1), key=lambda x: (h[x] % 2**64, x))
+                want.add((i, p, h[p]))
+        assert got == want
