@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqloom.functions.minimizers import minimizers
+from seqloom.functions.minimizers import batch_minimizers
 from seqloom.functions.text import clean_residues
 from seqloom.operators.skew import hot_join, hot_values
 from seqloom.session import Stage
@@ -183,12 +183,8 @@ def shared_spans(records: DataFrame, least: int = MIN_SPAN, shard: int = SHARD)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: list[tuple] = []
-            for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pos, h = minimizers(t.encode(), ANCHOR, least)
-                got.append((h, np.full(len(h), o, np.int64), pos.astype(np.int32)))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["shard", "owner", "pos"])
+            owner, pos, h = batch_minimizers([t.encode() for t in b.column(1).to_pylist()], ANCHOR, least)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int32))], ["shard", "owner", "pos"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "window", "owner", "start", "off"]
