@@ -226,23 +226,26 @@ def decompress(coarse: DataFrame, segments: DataFrame) -> DataFrame:
     return piece.groupBy("seq_id").agg(ordered.alias("p")).select("seq_id", F.array_join(F.col("p.piece"), "").alias("residues"))
 
 
-def _levels(seqs: DataFrame, stage: Stage, p: Params, max_depth: int) -> DataFrame:
+def _levels(seqs: DataFrame, stage: Stage, p: Params, max_depth: int, known: DataFrame | None = None) -> DataFrame:
     """seq_id, q_from, q_to, ref_id, p_from, parent_start, parent_end, depth: the segments of all
     sequences; roots have no ref_id. A match refers to the node of the next higher level that
-    holds most of its range, and is cut down to that."""
+    holds most of its range, and is cut down to that. known: nodes (seq_id, q_from, q_to, depth)
+    of sequences below 0, which can be referred to and have no segments of their own here."""
     matches = stage.save(choose(verified_matches(seqs, candidate_links(seqs, stage, p), p), p.min_length), "matches")
     cols = ["seq_id", "q_from", "q_to", "ref_id", "p_from", "parent_start", "parent_end", "depth"]
     root = lambda df: df.select("seq_id", "q_from", "q_to", *[F.lit(None).cast("long").alias(c) for c in cols[3:7]], F.lit(0).alias("depth"))
-    level = nodes = stage.save(root(_pieces(seqs, matches).filter("ref_id IS NULL")), "nodes0")
+    level = nodes = stage.save(root(_pieces(seqs if known is None else seqs.filter("seq_id >= 0"), matches).filter("ref_id IS NULL")), "nodes0")
     left = matches.select("seq_id", "q_from", "q_to", "ref_id", "r_from", "r_to", "percent", "blocks")
     key = ["seq_id", "q_from", "q_to", "ref_id", "r_from"]
 
     def on_own(x: str) -> Column:  # the place of the sequence beside place x of the reference
-        last = F.element_at(F.filter("blocks", lambda b: b["r"] <= F.col(x)), -1)
+        before = F.filter("blocks", lambda b: b["r"] <= F.col(x))
+        last = F.get(before, F.size(before) - 1)
         return F.when(F.col(x) == F.col("r_to"), F.col("q_to")).otherwise(F.coalesce(last["q"] + F.least(F.col(x) - last["r"], last["n"]), F.col("q_from")))
 
     for d in range(1, max_depth + 1):
-        spot = level.select(F.col("seq_id").alias("ref_id"), F.col("q_from").alias("p_from"), F.col("q_to").alias("p_to"))
+        above = level if known is None else level.select("seq_id", "q_from", "q_to").unionByName(known.filter(F.col("depth") == d - 1).select("seq_id", "q_from", "q_to"))
+        spot = above.select(F.col("seq_id").alias("ref_id"), F.col("q_from").alias("p_from"), F.col("q_to").alias("p_to"))
         over = left.filter(F.col("percent") >= (p.identity if d == 1 else p.deep_identity)).join(spot, "ref_id").withColumn("a", F.greatest("r_from", "p_from")).withColumn("b", F.least("r_to", "p_to")).filter(F.col("b") - F.col("a") >= p.min_length)
         over = over.withColumn("qa", F.when(F.col("a") == F.col("r_from"), F.col("q_from")).otherwise(on_own("a"))).withColumn("qb", on_own("b")).filter("qa < qb")
         best = over.groupBy(*key).agg(F.max(F.struct((F.col("b") - F.col("a")).alias("n"), (-F.col("p_from")).alias("m"), "a", "b", "qa", "qb", "p_from")).alias("x"))
@@ -275,17 +278,24 @@ def _aligned(linked: DataFrame) -> DataFrame:
     return same.unionByName(gaps)
 
 
-def compress_forest(seqs: DataFrame, p: Params = Params(), stage: Stage | None = None) -> DataFrame:
+def compress_forest(seqs: DataFrame, p: Params = Params(), stage: Stage | None = None, known: DataFrame | None = None) -> DataFrame:
     """Forest nodes: node_id ("seq:from"), seq_id, q_from, q_to, parent_id, depth, parent_start,
-    parent_end (0-based, in the parent's own text), sequence (roots only), diff (children)."""
+    parent_end (0-based, in the parent's own text), sequence (roots only), diff (children).
+    Ids are 0 or more. known: nodes of a forest to which these sequences are added; new nodes
+    may refer to them, and only new ones are returned."""
     stage = stage or Stage(seqs.sparkSession, "forest")
-    seqs = stage.save(seqs.select("seq_id", "residues").filter("seq_id IS NOT NULL AND residues <> ''"), "seqs")
-    full = stage.save(_texts(seqs, _levels(seqs, stage, p, p.max_depth)), "nodes")
+    new, there = seqs.select("seq_id", "residues").filter("seq_id >= 0 AND residues <> ''"), None
+    if known is not None:
+        there = known.select((-1 - F.col("seq_id")).alias("seq_id"), "q_from", "q_to", "depth")
+        new = new.unionByName(restore_forest(known, p.max_depth).select((-1 - F.col("seq_id")).alias("seq_id"), "residues"))
+    seqs = stage.save(new, "seqs")
+    full = stage.save(_texts(seqs, _levels(seqs, stage, p, p.max_depth, there)), "nodes")
     cols = ["seq_id", "q_from", "q_to"]
     none = lambda t: F.lit(None).cast(t)
     place = [F.col(c).cast("long").alias(c) for c in ("parent_start", "parent_end")]
+    parent = F.concat_ws(":", F.when(F.col("ref_id") < 0, -1 - F.col("ref_id")).otherwise(F.col("ref_id")).cast("string"), F.col("p_from").cast("string"))
     roots = full.filter("ref_id IS NULL").select(_name("seq_id", "q_from").alias("node_id"), *cols, none("string").alias("parent_id"), "depth", *place, F.col("own").alias("sequence"), none(edits.OPERATIONS).alias("diff"))
-    kids = _aligned(full.filter("ref_id IS NOT NULL")).select(_name("seq_id", "q_from").alias("node_id"), *cols, _name("ref_id", "p_from").alias("parent_id"), "depth", *place, none("string").alias("sequence"), edits.forest_ops("aligned_old", "aligned_own").alias("diff"))
+    kids = _aligned(full.filter("ref_id IS NOT NULL")).select(_name("seq_id", "q_from").alias("node_id"), *cols, parent.alias("parent_id"), "depth", *place, none("string").alias("sequence"), edits.forest_ops("aligned_old", "aligned_own").alias("diff"))
     return stage.save(roots.unionByName(kids), "forest")
 
 

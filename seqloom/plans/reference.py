@@ -10,7 +10,7 @@ from seqloom.functions.text import clean_residues, first_word
 from seqloom.operators import compress, evaluate, forest, hierarchy, intervals, search, seeds
 from seqloom.session import Stage
 from seqloom.sources import fasta
-from seqloom.sources.database import SequenceDatabase
+from seqloom.sources.database import ForestDatabase, SequenceDatabase
 from seqloom.sources.tables import table
 from seqloom.streaming import jobs
 
@@ -174,18 +174,17 @@ def _root_hits(spark, sf_dir):
     return hits.distinct()
 
 
-def forest_prune(spark, sf_dir):
-    """Every 20th hit, as its SQL has it; forest_prune_all takes all hits."""
-    return _pruned(spark, sf_dir, _root_hits(spark, sf_dir).filter(F.col("hit_id") % QUERY_STEP == 0))
+def _pruned(spark, sf_dir):
+    return forest.prune(table(spark, sf_dir, "tree_node"), _root_hits(spark, sf_dir), PRUNE)
 
 
-def forest_prune_all(spark, sf_dir):
-    return _pruned(spark, sf_dir, _root_hits(spark, sf_dir))
+def forest_prune(spark, sf_dir):
+    return _pruned(spark, sf_dir).select("hit_id", "node_id", F.col("from0").cast("long").alias("from0"), F.col("to0").cast("long").alias("to0"))
 
 
-def _pruned(spark, sf_dir, hits):
-    got = forest.prune(table(spark, sf_dir, "tree_node"), hits, PRUNE)
-    return got.select("hit_id", "node_id", F.col("from0").cast("long").alias("from0"), F.col("to0").cast("long").alias("to0"))
+def prune_scores(spark, sf_dir):
+    """Per node the highest score with which it was kept, and the number of hits."""
+    return _pruned(spark, sf_dir).groupBy("node_id").agg(F.max(F.round("score", 9)).alias("top_score"), F.count(F.lit(1)).alias("n_hits"))
 
 
 def candidate_dedupe(spark, sf_dir):
@@ -281,6 +280,34 @@ def profile_counts(spark, sf_dir):
     return search.profile_counts(search.search(s.filter(F.col("seq_id") % QUERY_STEP == 0), s), s)
 
 
+def search_forest(spark, sf_dir):
+    """The stored forest, searched with the text of every node whose id is divisible by 20."""
+    tree, stage = table(spark, sf_dir, "tree_node"), Stage(spark, "queries")
+    q = forest.reconstruct(tree).filter(F.col("node_id") % QUERY_STEP == 0)
+    return forest.search_forest(stage.save(q.select(F.col("node_id").alias("seq_id"), F.col("sequence").alias("residues")), "queries"), tree)
+
+
+def matched_roots(spark, sf_dir):
+    """Distinct nodes that the hits name, and those of them that are ends of chains of parents."""
+    hits = table(spark, sf_dir, "search_hit").filter("node_id IS NOT NULL").select("node_id").distinct()
+    tops = hierarchy.decompose(table(spark, sf_dir, "tree_node"), segments=False).nodes.filter("depth = 0").select("node_id", F.lit(1).alias("top"))
+    return hits.join(tops, "node_id", "left").agg(F.count(F.lit(1)).alias("n_nodes"), F.count("top").alias("n_roots"))
+
+
+def forest_ratio(spark, sf_dir):
+    """Roots, children and their share of the stored forest's nodes."""
+    nodes = hierarchy.decompose(table(spark, sf_dir, "tree_node"), segments=False).nodes
+    n = nodes.agg(F.count_if(F.col("depth") == 0).alias("n_roots"), F.count_if(F.col("depth") > 0).alias("n_children"))
+    return n.select("n_roots", "n_children", F.round(F.col("n_children") / (F.col("n_roots") + F.col("n_children")), 9).alias("child_ratio"))
+
+
+def forest_db_append(spark, sf_dir):
+    """A forest of the even ids, to which the odd ones are added, given back."""
+    s, stage = sequences(spark, sf_dir), Stage(spark, "fdb")
+    ForestDatabase.create(s.filter("seq_id % 2 = 0"), f"{stage.root}/db").append(s.filter("seq_id % 2 = 1"), "odd")
+    return ForestDatabase.open(spark, f"{stage.root}/db").sequences()
+
+
 def db_append(spark, sf_dir):
     """A database of the even ids, to which the odd ones are appended, given back."""
     s, stage = sequences(spark, sf_dir), Stage(spark, "db")
@@ -310,9 +337,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
-        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, nw_columns, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, forest_prune_all, candidate_dedupe,
+        best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, nw_columns, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, prune_scores, candidate_dedupe,
         align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
-        db_append, stream_append, stream_periods,
+        search_forest, matched_roots, forest_ratio, forest_db_append, db_append, stream_append, stream_periods,
     )
 }
 

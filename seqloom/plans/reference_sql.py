@@ -53,6 +53,14 @@ _APPLY = """array_to_string(list_transform(range(0, length({t}) + 1), lambda i:
        ELSE coalesce(list_filter({d}, lambda o: o.pos = i AND o.op <> 'INSERT')[1].ch, '') END), '')"""
 _STORED = """
 st AS (SELECT * FROM (SELECT node_id, sequence, parent_start, parent_end, diff, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM tree_node WHERE node_id IS NOT NULL) WHERE rn = 1)"""
+_PRUNED = f"""
+WITH RECURSIVE {_LINKS}, {_STORED}, node AS (SELECT l.node_id, p.node_id AS parent FROM link l LEFT JOIN link p ON p.node_id = l.parent),
+dn AS (SELECT h.hit_id, h.node_id, CAST(h.sstart - 1 AS BIGINT) AS a, CAST(h.send AS BIGINT) AS b, CAST(1 AS DOUBLE) AS score FROM (SELECT DISTINCT hit_id, node_id, sstart, send FROM search_hit) h JOIN node n USING (node_id) WHERE n.parent IS NULL
+       UNION ALL
+       SELECT hit_id, node_id, lo - parent_start, hi - parent_start, score FROM (SELECT *, 1.0 - CAST(coalesce({_DISRUPT.format(d="diff", s="parent_start", a="lo", b="hi")}, 0) AS DOUBLE) / greatest(hi - lo, 1) AS score FROM (
+         SELECT d.hit_id, n.node_id, st.parent_start, st.diff, greatest(d.a, st.parent_start) AS lo, least(d.b, st.parent_end) AS hi
+         FROM dn d JOIN node n ON n.parent = d.node_id JOIN st ON st.node_id = n.node_id WHERE st.parent_start IS NOT NULL AND st.parent_end IS NOT NULL)
+       WHERE lo < hi) WHERE score >= CAST(0.3 AS DOUBLE))"""
 _GIVEN = f"WITH {_S} SELECT seq_id, residues FROM s WHERE residues <> ''"
 
 SQL = {
@@ -110,15 +118,16 @@ dn AS (SELECT n.node_id, st.sequence AS t FROM node n JOIN st USING (node_id) WH
          SELECT n.node_id, substr(d.t, coalesce(st.parent_start, 0) + 1, greatest(coalesce(st.parent_end, length(d.t)) - coalesce(st.parent_start, 0), 0)) AS seg, coalesce(st.diff, []) AS ops
          FROM dn d JOIN node n ON n.parent = d.node_id JOIN st ON st.node_id = n.node_id))
 SELECT node_id, t AS sequence FROM dn""",
-    "forest_prune": f"""
-WITH RECURSIVE {_LINKS}, {_STORED}, node AS (SELECT l.node_id, p.node_id AS parent FROM link l LEFT JOIN link p ON p.node_id = l.parent),
-dn AS (SELECT h.hit_id, h.node_id, CAST(h.sstart - 1 AS BIGINT) AS a, CAST(h.send AS BIGINT) AS b FROM (SELECT DISTINCT hit_id, node_id, sstart, send FROM search_hit WHERE hit_id % 20 = 0) h JOIN node n USING (node_id) WHERE n.parent IS NULL
-       UNION ALL
-       SELECT hit_id, node_id, lo - parent_start, hi - parent_start FROM (
-         SELECT d.hit_id, n.node_id, st.parent_start, st.diff, greatest(d.a, st.parent_start) AS lo, least(d.b, st.parent_end) AS hi
-         FROM dn d JOIN node n ON n.parent = d.node_id JOIN st ON st.node_id = n.node_id WHERE st.parent_start IS NOT NULL AND st.parent_end IS NOT NULL)
-       WHERE lo < hi AND 1.0 - CAST(coalesce({_DISRUPT.format(d="diff", s="parent_start", a="lo", b="hi")}, 0) AS DOUBLE) / greatest(hi - lo, 1) >= CAST(0.3 AS DOUBLE))
-SELECT hit_id, node_id, a AS from0, b AS to0 FROM dn""",
+    "forest_prune": f"{_PRUNED}\nSELECT hit_id, node_id, a AS from0, b AS to0 FROM dn",
+    "prune_scores": f"{_PRUNED}\nSELECT node_id, max(round(score, 9)) AS top_score, count(*) AS n_hits FROM dn GROUP BY node_id",
+    "matched_roots": f"""
+WITH {_LINKS}, node AS (SELECT l.node_id, p.node_id AS parent FROM link l LEFT JOIN link p ON p.node_id = l.parent)
+SELECT count(*) AS n_nodes, count(n.node_id) AS n_roots FROM (SELECT DISTINCT node_id FROM search_hit WHERE node_id IS NOT NULL) h LEFT JOIN (SELECT node_id FROM node WHERE parent IS NULL) n USING (node_id)""",
+    "forest_ratio": f"""
+WITH RECURSIVE {_LINKS}, node AS (SELECT l.node_id, p.node_id AS parent FROM link l LEFT JOIN link p ON p.node_id = l.parent),
+dn AS (SELECT node_id, 0 AS depth FROM node WHERE parent IS NULL UNION ALL SELECT n.node_id, d.depth + 1 FROM dn d JOIN node n ON n.parent = d.node_id)
+SELECT count(*) FILTER (depth = 0) AS n_roots, count(*) FILTER (depth > 0) AS n_children, round(count(*) FILTER (depth > 0) / count(*), 9) AS child_ratio FROM dn""",
+    "forest_db_append": _GIVEN,
     "candidate_dedupe": """
 SELECT node_id, from0, to0 FROM (SELECT node_id, sstart - 1 AS from0, send AS to0, row_number() OVER (PARTITION BY node_id ORDER BY sstart - 1 - send, sstart) AS rn
   FROM search_hit WHERE sstart IS NOT NULL AND send IS NOT NULL AND node_id IS NOT NULL) WHERE rn = 1""",

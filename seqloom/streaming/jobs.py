@@ -52,11 +52,11 @@ def stream_intervals(stream: DataFrame, key: str, stage: Stage) -> DataFrame:
 
 
 def stream_append(stream: DataFrame, db: SequenceDatabase, progress: str) -> None:
-    """Appends every micro-batch of seq_id, residues to the database. The state is the tables:
-    a batch that is run again finds its ids there."""
+    """Appends every micro-batch of seq_id, residues to the database, as a batch of its own; one
+    that is run again replaces what it had written."""
 
     def add(batch: DataFrame, number: int) -> None:
-        db.append(batch.groupBy("seq_id").agg(F.max("residues").alias("residues")))
+        db.append(batch.groupBy("seq_id").agg(F.max("residues").alias("residues")), f"s{number}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import compress, evaluate, forest, search, seeds
 from seqloom.sources import fasta
-from seqloom.sources.database import SequenceDatabase
+from seqloom.sources.database import ForestDatabase, SequenceDatabase
 from seqloom.streaming import jobs
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
@@ -135,13 +136,12 @@ def test_forest_paths(spark):
     tree = spark.createDataFrame(rows, "node_id BIGINT, is_root BOOLEAN, parent_id BIGINT, depth INT, children ARRAY<BIGINT>, loaded_at TIMESTAMP, sequence STRING, parent_start INT, parent_end INT, diff ARRAY<STRUCT<op: STRING, pos: INT, ch: STRING>>")
     assert {r.node_id: r.sequence for r in forest.reconstruct(tree).collect()} == {1: "ABCDEFGH", 2: "CxEFG", 3: "EFy"}
     hits = spark.createDataFrame([(7, 1, 0, 8), (8, 1, 0, 2)], "hit_id INT, root_id BIGINT, from0 INT, to0 INT")
-    assert {tuple(r) for r in forest.prune(tree, hits, 0.3).collect()} == {(7, 1, 0, 8), (7, 2, 0, 5), (7, 3, 0, 3), (8, 1, 0, 2)}
+    assert {tuple(r)[:4] for r in forest.prune(tree, hits, 0.3).collect()} == {(7, 1, 0, 8), (7, 2, 0, 5), (7, 3, 0, 3), (8, 1, 0, 2)}
     assert {r.node_id for r in forest.prune(tree, hits, 0.9).collect()} == {1}
 
 
-@pytest.mark.parametrize("part_hits", [1_000, 2])
-def test_prune_takes_all_hits(spark, part_hits, monkeypatch):
-    """The query over all hits against the SQL without its filter, also with a root's hits in parts."""
+def test_prune_with_hot_nodes(spark, monkeypatch):
+    """All hits against the SQL, with hits on hot nodes in parts."""
     from collections import Counter
     from pathlib import Path
 
@@ -150,17 +150,63 @@ def test_prune_takes_all_hits(spark, part_hits, monkeypatch):
     sf, duckdb = Path("/root/testdata/sf0.001"), pytest.importorskip("duckdb")
     if not sf.exists():
         pytest.skip("the given tables aren't here")
-    monkeypatch.setattr(forest, "PART_HITS", part_hits)
+    monkeypatch.setattr("seqloom.operators.skew.HOT_ROWS", 5)
     con = duckdb.connect()
     for p in sf.glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    sql = entry.oracle_sql()["forest_prune"]
-    assert " WHERE hit_id % 20 = 0" in sql
-    rel = con.sql(sql.replace(" WHERE hit_id % 20 = 0", ""))
-    got = entry.queries()["forest_prune_all"](spark, str(sf)).select(*rel.columns).collect()
+    rel = con.sql(entry.oracle_sql()["forest_prune"])
+    got = entry.queries()["forest_prune"](spark, str(sf)).select(*rel.columns).collect()
     assert len(got) > 100 and Counter(map(tuple, got)) == Counter(rel.fetchall())
 
 
+def stored_tree(spark, rows):
+    import datetime as dt
+
+    full = [(i, p is None, p, None, [], dt.datetime(2021, 1, 1), seq, a, b, diff) for i, p, seq, a, b, diff in rows]
+    return spark.createDataFrame(full, "node_id BIGINT, is_root BOOLEAN, parent_id BIGINT, depth INT, children ARRAY<BIGINT>, loaded_at TIMESTAMP, sequence STRING, parent_start INT, parent_end INT, diff ARRAY<STRUCT<op: STRING, pos: INT, ch: STRING>>")
+
+
+def test_search_forest(spark):
+    """Roots and the nodes below that keep the hit's range, nodes of equal text alike."""
+    rng = random.Random(9)
+    text = "".join(rng.choice(LETTERS) for _ in range(200))
+    other = "".join(rng.choice(LETTERS) for _ in range(200))
+    gone = [("DELETE", i, None) for i in range(60)]
+    tree = stored_tree(spark, [(1, None, text, None, None, None), (2, 1, None, 20, 180, [("SUBSTITUTE", 3, "W")]), (3, 1, None, 20, 180, [("SUBSTITUTE", 3, "W")]), (4, 1, None, 100, 170, gone), (5, None, other, None, None, None)])
+    q = frame(spark, {7: text, 8: "ACD"})
+    got = {(r.query_id, r.node_id): (r.sstart, r.send) for r in forest.search_forest(q, tree).collect()}
+    assert set(got) == {(7, 1), (7, 2), (7, 3)} and got[7, 1] == (1, 200) and got[7, 2] == got[7, 3]
+    assert forest.search_forest(q.limit(0), tree).count() == 0
+
+
+def test_forest_database(spark, records, tmp_path):
+    path = str(tmp_path / "forest")
+    ForestDatabase.create(frame(spark, {i: t for i, t in records.items() if i % 2 == 0}), path)
+    db = ForestDatabase.open(spark, path)
+    odd = frame(spark, {i: t for i, t in records.items() if i % 2})
+    db.append(odd.limit(2), "b1")
+    db.append(odd, "b1")  # a batch that is run again
+    assert {r.seq_id: r.residues for r in db.sequences().collect()} == {i: t for i, t in records.items() if t}
+    old = {r.node_id for r in db.nodes.filter("seq_id % 2 = 0").collect()}
+    assert any(r.parent_id in old for r in db.nodes.filter("seq_id % 2 = 1").collect())
+    with pytest.raises(Exception, match="(?i)exists"):
+        ForestDatabase.create(odd, path)
+
+
+def test_a_batch_written_again(spark, records, tmp_path):
+    path = str(tmp_path / "db")
+    db = SequenceDatabase.create(frame(spark, {1: records[1]}), path)
+    db.append(frame(spark, {i: records[i] for i in (2, 3)}), "s1")
+    db.append(frame(spark, {i: records[i] for i in (2, 3, 4)}), "s1")
+    assert {r.seq_id: r.residues for r in db.sequences().collect()} == {i: records[i] for i in (1, 2, 3, 4)}
+    assert {r.subject_id for r in db.search(frame(spark, {2: records[2]})).collect()} >= {2}
+    ids = db.segments.filter("seq_id = 1").select("coarse_id")
+    assert db.representatives(ids).count() == 1
+    lost = db.segments.withColumn("coarse_id", F.lit("none"))
+    with pytest.raises(Exception, match="no representative"):
+        compress.decompress(db.coarse, lost).collect()
+
+
 def roc(rows):
     p = sum(x for _, x in rows)
     n = len(rows) - p
