@@ -8,7 +8,8 @@
    share / (2 k + 1); a source that has used all its blocks max_repeats times drops out. The
    same rule splits a source's quota among its shards.
 4. A shard repeats all its blocks as often as the quota allows and then takes the first
-   ones of a seeded order once more, so no document is used more than max_repeats times.
+   ones of a seeded order once more, the last one up to the document that reaches the quota;
+   so no document is used more than max_repeats times.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import base64
 from collections.abc import Iterator
 from heapq import heapify, heapreplace
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ from pyspark.sql import Window as W
 
 from seqloom.session import Stage
 
-BLOCK_TOKENS = 2_048
+#: Tokens of a block, and blocks that a mix should have at least: a smaller mix takes smaller ones.
+BLOCK_TOKENS, LEAST_SEATS = 2_048, 50_000
 #: Tokens of a shard, unless a source would have more than MOST_SHARDS: those are ranked in one
 #: window, so shards of larger sources are larger.
 SHARD_TOKENS, MOST_SHARDS = 2_000_000, 10_000
@@ -89,18 +92,18 @@ def sainte_lague(shares: dict[str, float], most: dict[str, int], seats: int) ->
 
 def _shard_quotas(shards: DataFrame) -> DataFrame:
     """source, shard, quota: the same rule within a source. shards: source, shard, n_blocks,
-    source_blocks, quota. Seats up to three below a shard's fair part are sure; the others,
-    six to a shard, are ranked by quotient."""
-    fair = F.floor(F.col("quota") * F.col("n_blocks") / F.col("source_blocks") + 0.5)
-    base = shards.withColumn("sure", F.greatest(fair - 3, F.lit(0)))
-    seats = base.withColumn("k", F.explode(F.sequence(F.col("sure"), F.col("sure") + 5)))
-    seats = seats.withColumn("left", F.col("quota") - F.sum(F.when(F.col("k") == F.col("sure"), F.col("sure")).otherwise(0)).over(W.partitionBy("source")))
-    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.col("n_blocks") / (2 * F.col("k") + 1)), "shard", "k"))
-    took = (seats.withColumn("rank", rank)).groupBy("source", "shard").agg(F.first("sure").alias("sure"), F.sum((F.col("rank") <= F.col("left")).cast("long")).alias("more"))
-    return took.select("source", "shard", (F.col("sure") + F.col("more")).alias("quota"))
-
-
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None, block: int = BLOCK_TOKENS, shard: int = SHARD_TOKENS, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    quota; a source has at most MOST_SHARDS of them, one row each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = {f"{s:06d}": n for s, n in zip(pdf["shard"], pdf["n_blocks"])}
+        seats = int(pdf["quota"].iloc[0]) if len(pdf) else 0
+        got = sainte_lague(sizes, dict.fromkeys(sizes, seats), seats)
+        return pd.DataFrame({"source": pdf["source"], "shard": pdf["shard"], "quota": [got[f"{s:06d}"] for s in pdf["shard"]]})
+
+    return shards.select("source", "shard", "n_blocks", "quota").groupBy("source").applyInPandas(run, "source STRING, shard BIGINT, quota BIGINT")
+
+
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None, block: int | None = None, shard: int = SHARD_TOKENS, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(chosen, report). chosen: doc_id, source, n_tokens, repeats. report: one row per source.
 
     total_tokens: size of the mix; by default the largest at which no source with documents
@@ -121,29 +124,30 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int |
     if total_tokens is None:
         total_tokens = min((int(r["max_repeats"] * r["n_tokens"] / (share[s] / whole)) for s, r in plan.items()), default=0)
 
+    block = block or max(1, min(BLOCK_TOKENS, total_tokens // LEAST_SEATS))
     sizes = spark.createDataFrame([(s, int(r["n_tokens"])) for s, r in plan.items()] or [("", 0)], "source STRING, size BIGINT")
     in_plan = sized.filter("n_tokens > 0").join(F.broadcast(sizes), "source")
     h = lambda salt, *c: F.xxhash64(F.lit(seed), F.lit(salt), *c)
     put = in_plan.withColumn("shard", F.pmod(h(1, "doc_id"), F.least(F.ceil(F.col("size") / shard), F.lit(MOST_SHARDS))))
     run = W.partitionBy("source", "shard").orderBy(h(2, "doc_id"), "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     put = put.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(run), F.lit(0)) / block))
-    put = stage.save(put.select("doc_id", "source", "n_tokens", "shard", "block"), "blocks")
+    put = stage.save(put.select("doc_id", "source", "n_tokens", "shard", F.col("block").cast("long").alias("block")), "blocks")
 
     shards = put.groupBy("source", "shard").agg((F.sum("n_tokens") / block).alias("n_blocks"))
     counts = {r[0]: r[1] for r in shards.groupBy("source").agg(F.sum("n_blocks")).collect()}
     quota = sainte_lague(share, {s: int(plan[s]["max_repeats"] * counts.get(s, 0)) for s in share}, total_tokens // block)
-    given = spark.createDataFrame([(s, int(quota[s]), float(counts.get(s, 0)), int(plan[s]["max_repeats"])) for s in share] or [("", 0, 0.0, 0)], "source STRING, quota BIGINT, source_blocks DOUBLE, max_repeats INT")
-    quotas = _shard_quotas(shards.join(F.broadcast(given), "source")).join(F.broadcast(given.select("source", "max_repeats")), "source")
-
-    blocks = put.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("size"))
-    blocks = blocks.join(quotas, ["source", "shard"])
-    # Tokens that the quota stands for; all blocks so often, then the first of the seeded order.
-    order = W.partitionBy("source", "shard").orderBy(h(3, "shard", "block"), "block")
-    blocks = blocks.withColumn("all", F.sum("size").over(W.partitionBy("source", "shard"))).withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    given = F.broadcast(spark.createDataFrame([(s, int(quota[s]), int(plan[s]["max_repeats"])) for s in share] or [("", 0, 0)], "source STRING, quota BIGINT, max_repeats INT"))
+    quotas = _shard_quotas(shards.join(given, "source")).join(given.select("source", "max_repeats"), "source")
+
+    # Tokens that the quota stands for: all documents so often, then the first ones in the seeded
+    # order of their blocks.
+    per = put.groupBy("source", "shard").agg(F.sum("n_tokens").alias("all")).join(quotas, ["source", "shard"])
     times = F.least(F.floor(F.col("quota") * block / F.col("all")), F.col("max_repeats").cast("long"))
-    rest = F.col("quota") * block - F.col("times") * F.col("all")
-    blocks = blocks.withColumn("times", times).withColumn("repeats", F.least(F.col("times") + (F.col("before") + F.col("size") / 2 < rest).cast("long"), F.col("max_repeats").cast("long")))
-    chosen = put.join(blocks.filter("repeats > 0").select("source", "shard", "block", "repeats"), ["source", "shard", "block"]).select("doc_id", "source", "n_tokens", "repeats")
+    per = per.withColumn("times", times).withColumn("rest", F.col("quota") * block - F.col("times") * F.col("all"))
+    order = W.partitionBy("source", "shard").orderBy(h(3, "shard", "block"), "block", h(2, "doc_id"), "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    placed = put.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(per.select("source", "shard", "times", "rest", "max_repeats"), ["source", "shard"])
+    more = (F.col("before") + F.col("n_tokens") / 2 < F.col("rest")).cast("long")
+    chosen = placed.withColumn("repeats", F.least(F.col("times") + more, F.col("max_repeats").cast("long"))).filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     chosen = stage.save(chosen, "chosen")
 
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("n_chosen"), F.sum("repeats").alias("n_uses"), F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.max("repeats").alias("most_repeats"))

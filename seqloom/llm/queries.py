@@ -51,6 +51,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of every pair and where it stands: part and word of the message, word of the item."""
+    return _leaks(spark, sf_dir)
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.item_report(_leaks(spark, sf_dir), table(spark, sf_dir, "eval_item"))
 
@@ -76,7 +81,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.score_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amount, p3_clean, p5_found, p5_ranked, p6_found, p6_items, p6_clean, p7_chosen, p7_shares, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_amount, p3_clean, p5_found, p5_ranked, p6_found, p6_places, p6_items, p6_clean, p7_chosen, p7_shares, p8_found, p8_scores)}
 
 _CLEAN = r"""
 raw AS (SELECT seq_id, max(upper(regexp_replace(coalesce(residues, ''), '[^A-Za-z]', '', 'g'))) AS t FROM fasta_sequence WHERE seq_id IS NOT NULL GROUP BY seq_id)"""
