@@ -26,11 +26,39 @@ def recall_precision(truth: DataFrame, found: DataFrame, pair: list[str]) -> Dat
     return both.select("n_true", "n_found", "n_hit", div("n_true").alias("recall"), div("n_found").alias("precision"))
 
 
-def running_counts(scored: DataFrame, width: float = 1.0) -> DataFrame:
+def universe_scores(truth: DataFrame, found: DataFrame, pair: list[str], score: str, n_pairs: int) -> DataFrame:
+    """score, positive, n: how many of n_pairs pairs have a score, true and false ones apart.
+
+    truth: the true pairs; found: pairs with scores, of which the highest counts. Pairs that
+    weren't found score 0, true ones and all others of the n_pairs; the others are a count, no
+    rows. Repeated pairs count once, null scores as not found.
+    """
+    t = truth.select(*pair).distinct().withColumn("true", F.lit(True))
+    both = t.join(best_scores(found, pair, score), pair, "full")
+    n = both.groupBy(F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce("true", F.lit(False)).alias("positive")).agg(F.count(F.lit(1)).alias("n"))
+    rest = n.agg((F.lit(n_pairs) - F.coalesce(F.sum("n"), F.lit(0))).cast("long").alias("n")).filter("n > 0")
+    return n.unionByName(rest.select(F.lit(0.0).alias("score"), F.lit(False).alias("positive"), "n")).groupBy("score", "positive").agg(F.sum("n").alias("n"))
+
+
+#: Ranges of scores that are added up one by one.
+RANGES = 1_000
+
+
+def _n(scored: DataFrame) -> Column:
+    return F.col("n") if "n" in scored.columns else F.lit(1)
+
+
+def running_counts(scored: DataFrame, width: float | None = None) -> DataFrame:
     """score, tp, fp: true and false pairs of at least each distinct score. scored: score,
-    positive. Scores are counted first, then added up in two levels: over ranges of `width`,
-    and within a range, so no task sees all scores."""
-    per = scored.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("t"), F.sum((~F.col("positive")).cast("long")).alias("f")).withColumn("bin", F.floor(F.col("score") / width))
+    positive, and n if a row stands for n pairs. Scores are counted first, then added up in two
+    levels: over ranges of `width` (by default RANGES of them from the lowest score to the
+    highest), and within a range, so no task sees all scores."""
+    n = lambda c: F.sum(F.when(c, _n(scored)).otherwise(0)).alias
+    per = scored.groupBy("score").agg(n(F.col("positive"))("t"), n(~F.col("positive"))("f"))
+    if width is None:
+        lo, hi = scored.agg(F.min("score"), F.max("score")).first()
+        width = (hi - lo) / RANGES if lo is not None and hi > lo else 1.0
+    per = per.withColumn("bin", F.floor(F.col("score") / width))
     bins = per.groupBy("bin").agg(F.sum("t").alias("bt"), F.sum("f").alias("bf"))
     up = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)  # one row per range of scores
     bins = bins.select("bin", F.coalesce(F.sum("bt").over(up), F.lit(0)).alias("bt"), F.coalesce(F.sum("bf").over(up), F.lit(0)).alias("bf"))
@@ -38,18 +66,18 @@ def running_counts(scored: DataFrame, width: float = 1.0) -> DataFrame:
     return per.join(bins, "bin").select("bin", "score", "bt", "bf", (F.sum("t").over(inside) + F.col("bt")).alias("tp"), (F.sum("f").over(inside) + F.col("bf")).alias("fp"))
 
 
-def roc_points(scored: DataFrame, width: float = 1.0) -> DataFrame:
+def roc_points(scored: DataFrame, width: float | None = None) -> DataFrame:
     """fpr, tpr, one point per distinct score and the origin; the diagonal's two ends if there
     are no positives or no negatives."""
     run = running_counts(scored, width)
-    tot = scored.agg(F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    tot = scored.agg(F.coalesce(F.sum(F.when(F.col("positive"), _n(scored))), F.lit(0)), F.coalesce(F.sum(_n(scored)), F.lit(0))).first()
     p, n = tot[0], tot[1] - tot[0]
     if p == 0 or n == 0:
         return scored.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr DOUBLE, tpr DOUBLE")
     return run.select((F.col("fp") / n).alias("fpr"), (F.col("tp") / p).alias("tpr")).unionByName(scored.sparkSession.createDataFrame([(0.0, 0.0)], "fpr DOUBLE, tpr DOUBLE"))
 
 
-def auc(scored: DataFrame, width: float = 1.0) -> DataFrame:
+def auc(scored: DataFrame, width: float | None = None) -> DataFrame:
     """One row: auc by trapezoids; null without positives or negatives. A step's area needs
     only the counts before it, which every row of running_counts knows."""
     run = running_counts(scored, width)

@@ -45,7 +45,7 @@ def fasta_wrap60(spark, sf_dir):
 
 def fasta_roundtrip(spark, sf_dir):
     stage = Stage(spark, "fasta")
-    fasta.write_fasta(sequences(spark, sf_dir).select(F.col("seq_id").cast("string").alias("header"), "residues"), f"{stage.root}/out")
+    fasta.write_fasta(sequences(spark, sf_dir).select("seq_id", F.col("seq_id").cast("string").alias("header"), "residues"), f"{stage.root}/out", order_by="seq_id")
     back = fasta.read_sequences(spark, f"{stage.root}/out")
     return back.select(F.col("header").cast("long").alias("seq_id"), "residues")
 
@@ -58,6 +58,13 @@ def fasta_numbering(spark, sf_dir):
     return per.agg(F.sum("n").alias("n_records"), F.sum((F.col("n") - 1 - F.col("top")) + (F.col("n") - F.col("d"))).alias("n_wrong"))
 
 
+def fasta_stream(spark, sf_dir):
+    """The sequences, written as FASTA files, that are then read as a stream."""
+    stage = Stage(spark, "fasta")
+    fasta.write_fasta(sequences(spark, sf_dir).select(F.col("seq_id").cast("string").alias("header"), "residues"), f"{stage.root}/in")
+    return jobs.stream_table(fasta.stream_fasta(spark, f"{stage.root}/in"), stage).select(F.col("header").cast("long").alias("seq_id"), "residues")
+
+
 def header_accession(spark, sf_dir):
     raw = table(spark, sf_dir, "fasta_sequence")
     return raw.select("seq_id", residue.accession("header").alias("accession"), residue.gene_family("header").alias("family")).distinct()
@@ -249,6 +256,15 @@ def roc_auc(spark, sf_dir):
     return evaluate.auc(_scored(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
 
 
+def roc_universe(spark, sf_dir):
+    """The area over all pairs of a query and a subject; those without a hit score 0."""
+    p = _pairs(spark, sf_dir)
+    size = p.agg(F.count_distinct("query"), F.count_distinct("subject")).first()
+    truth = p.filter("evalue <= 1e-30").select(*_PAIR).distinct()
+    scored = evaluate.universe_scores(truth, p.filter("bitscore >= 150"), _PAIR, "bitscore", size[0] * size[1])
+    return evaluate.auc(scored).select(F.lit(size[0] * size[1]).cast("long").alias("n_pairs"), F.lit(truth.count()).cast("long").alias("n_true"), F.round("auc", 9).alias("auc"))
+
+
 def family_dense_sample(spark, sf_dir):
     raw = table(spark, sf_dir, "fasta_sequence").filter("seq_id IS NOT NULL").groupBy("seq_id").agg(F.max("header").alias("header"))
     got = evaluate.family_sample(raw.select("seq_id", residue.gene_family("header").alias("family")), "family", "seq_id", 500, 20)
@@ -336,9 +352,9 @@ def stream_periods(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
+        seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, fasta_stream, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
         best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, nw_columns, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, prune_scores, candidate_dedupe,
-        align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
+        align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, roc_universe, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
         search_forest, matched_roots, forest_ratio, forest_db_append, db_append, stream_append, stream_periods,
     )
 }

@@ -67,6 +67,7 @@ SQL = {
     "seq_normalise": f"WITH {_S} SELECT seq_id, residues, length(residues) AS n FROM s",
     "fasta_wrap60": f"WITH {_S} SELECT seq_id, regexp_replace(residues, '(.{{1,60}})', '\\1' || chr(10), 'g') AS lines FROM s",
     "fasta_roundtrip": f"WITH {_S} SELECT seq_id, residues FROM s",
+    "fasta_stream": f"WITH {_S} SELECT seq_id, residues FROM s",
     "fasta_numbering": f"WITH {_S} SELECT count(*) AS n_records, CAST(0 AS BIGINT) AS n_wrong FROM s",
     "header_accession": f"""
 WITH h AS (SELECT seq_id, {_HEAD.format(c="header")} AS head, nullif(regexp_extract(header, 'GN=(\\S+)', 1), '') AS family FROM fasta_sequence)
@@ -151,6 +152,13 @@ SELECT *, round(CASE WHEN n_true > 0 THEN n_hit / n_true ELSE 0.0 END, 9) AS rec
     "roc_auc": f"""
 WITH {_ROC}, st AS (SELECT fpr, tpr, lag(fpr) OVER (ORDER BY score DESC NULLS FIRST) AS f0, lag(tpr) OVER (ORDER BY score DESC NULLS FIRST) AS t0 FROM pt)
 SELECT round(CAST(sum((fpr - f0) * (tpr + t0) / 2) AS DOUBLE), 9) AS auc FROM st""",
+    "roc_universe": f"""
+WITH {_PAIRS}, best AS (SELECT query, subject, max(bitscore) AS score FROM pr WHERE bitscore >= 150 GROUP BY ALL),
+every AS (SELECT query, subject FROM (SELECT DISTINCT query FROM pr), (SELECT DISTINCT subject FROM pr)),
+sc AS (SELECT coalesce(score, 0) AS score, t.query IS NOT NULL AS pos FROM every e LEFT JOIN best b ON b.query = e.query AND b.subject = e.subject LEFT JOIN tr t ON t.query = e.query AND t.subject = e.subject),
+per AS (SELECT score, count(*) FILTER (pos) AS t, count(*) FILTER (NOT pos) AS f FROM sc GROUP BY score),
+run AS (SELECT t, f, sum(t) OVER w AS tp, sum(f) OVER w AS fp FROM per WINDOW w AS (ORDER BY score DESC))
+SELECT CAST(sum(t) + sum(f) AS BIGINT) AS n_pairs, CAST(sum(t) AS BIGINT) AS n_true, round(CAST(sum(f * (tp - t / 2)) / (sum(t) * sum(f)) AS DOUBLE), 9) AS auc FROM run""",
     "family_dense_sample": f"""
 WITH h AS (SELECT seq_id, nullif(regexp_extract(max(header), 'GN=(\\S+)', 1), '') AS family FROM fasta_sequence WHERE seq_id IS NOT NULL GROUP BY seq_id),
 z AS (SELECT family, count(*) AS size FROM h WHERE family IS NOT NULL GROUP BY family),

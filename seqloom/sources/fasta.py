@@ -19,14 +19,19 @@ def _records(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").rlike(r"\S")).withColumn("header", head).withColumn("residues", body).drop("value")
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
     """file, rec_no (from 0 in each file), header, residues. Gzip by suffix.
 
     Records are numbered by adding up what the read tasks hold, so a file of any size stays
-    split. An empty file has no records; text before the first `>` becomes a record whose
-    header is its first line.
+    split. An empty file has no records. Text before the first `>` of a file is an error, unless
+    strict is false: then it becomes a record whose header is its first line.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    if strict:
+        # Only what stands before the first cut of a file can lack its mark.
+        start = F.row_number().over(W.partitionBy("file", "block").orderBy("id")) == 1
+        wrong = start & (F.col("block") == 0) & F.col("value").rlike(r"^\s*[^\s>]")
+        raw = raw.withColumn("value", F.when(wrong, F.raise_error(F.concat(F.lit("text before the first > of "), "file"))).otherwise(F.col("value")))
     recs = _records(raw)
     counts = recs.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))  # a row per read split
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -57,8 +62,11 @@ def fasta_text(header: str = "header", residues: str = "residues", width: int =
     return F.regexp_replace(F.concat(F.lit("> "), F.coalesce(F.col(header), F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))), r"\n$", "")
 
 
-def write_fasta(df: DataFrame, path: str, width: int = 60, mode: str = "errorifexists") -> None:
-    """A folder of FASTA files, one per task; rows keep the order they have in the tasks."""
+def write_fasta(df: DataFrame, path: str, width: int = 60, mode: str = "errorifexists", order_by: str | None = None) -> None:
+    """A folder of FASTA files, one per task; rows keep the order they have in the tasks. order_by:
+    a column in whose order the records stand in each file and from file to file."""
+    if order_by:
+        df = df.repartitionByRange(order_by).sortWithinPartitions(order_by)
     df.select(fasta_text(width=width).alias("value")).write.mode(mode).text(path)
 
 

@@ -61,6 +61,13 @@ def stream_append(stream: DataFrame, db: SequenceDatabase, progress: str) -> Non
     stream.writeStream.foreachBatch(add).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_table(stream: DataFrame, stage: Stage) -> DataFrame:
+    """Runs the stream to its end; its rows as a table, each once."""
+    out = f"{stage.root}/rows"
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{stage.root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def parquet_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files, a few files a batch."""
     path = f"{sf_dir}/{name}.parquet"

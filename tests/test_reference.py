@@ -230,6 +230,15 @@ def test_evaluation(spark):
     assert {tuple(r) for r in evaluate.missed_extra(t, f, ["q", "s"]).collect()} == {(1, 2, "missed"), (2, 2, "extra")}
     assert tuple(evaluate.recall_precision(t, f, ["q", "s"]).first()) == (2, 2, 1, 0.5, 0.5)
     assert tuple(evaluate.recall_precision(t.limit(0), f.limit(0), ["q", "s"]).first()) == (0, 0, 0, 0.0, 0.0)
+    # Six of 4 x 5 pairs have scores; one true pair wasn't found.
+    held = [(0, 0, 9.0, True), (0, 1, 7.0, False), (0, 1, 5.0, False), (1, 1, 7.0, True), (1, 2, 3.0, True), (2, 2, 0.0, False), (3, 3, None, False)]
+    df = spark.createDataFrame(held, "q INT, s INT, x DOUBLE, hit BOOLEAN")
+    truth = df.filter("hit").unionByName(spark.createDataFrame([(3, 4, None, True)], df.schema))
+    got = evaluate.universe_scores(truth, df, ["q", "s"], "x", 20)
+    assert {(r.score, r.positive): r.n for r in got.collect()} == {(9.0, True): 1, (7.0, True): 1, (7.0, False): 1, (3.0, True): 1, (0.0, True): 1, (0.0, False): 15}
+    pts, area = roc([(9, True), (7, True), (7, False), (3, True), (0, True)] + [(0, False)] * 15)
+    assert evaluate.auc(got).first().auc == pytest.approx(area) and evaluate.roc_points(got).count() == len(pts)
+    assert evaluate.universe_scores(truth.limit(0), df.limit(0), ["q", "s"], "x", 0).count() == 0
     ids = spark.range(200).withColumnRenamed("id", "k").selectExpr("k", "CASE WHEN k < 100 THEN 'a' WHEN k < 130 THEN 'b' WHEN k < 135 THEN 'c' END AS fam")
     got = evaluate.family_sample(ids, "fam", "k", 45, per_family=20).groupBy("fam").count().collect()
     assert {r.fam: r["count"] for r in got} == {"a": 20, "b": 20, "c": 5}
@@ -259,6 +268,17 @@ def test_fasta(spark, tmp_path):
     assert {(int(r.header), r.residues) for r in fasta.read_fasta(spark, out).collect()} == set(recs.items())
 
 
+def test_fasta_errors_and_order(spark, tmp_path):
+    (tmp_path / "c.fasta").write_text("ACD\n>one\nK\n")
+    with pytest.raises(Exception, match="text before the first >"):
+        fasta.read_fasta(spark, str(tmp_path)).collect()
+    assert [(r.header, r.residues) for r in fasta.read_fasta(spark, str(tmp_path), strict=False).orderBy("rec_no").collect()] == [("ACD", ""), ("one", "K")]
+    recs = {i: "ACD" * (i % 7) for i in range(300)}
+    fasta.write_fasta(frame(spark, recs).selectExpr("seq_id", "CAST(seq_id AS STRING) AS header", "residues").repartition(5), str(tmp_path / "out"), order_by="seq_id")
+    back = fasta.read_fasta(spark, str(tmp_path / "out")).orderBy("file", "rec_no").collect()
+    assert [(int(r.header), r.residues) for r in back] == sorted(recs.items())
+
+
 def test_tables_and_xml(spark, tmp_path):
     (tmp_path / "h.tsv").write_text("q\ts\t99.0\t10\t0\t0\t1\t10\t2\t11\t1e-5\t50.5\nbad\n")
     rows = fasta.read_hsp_table(spark, str(tmp_path / "h.tsv")).collect()
