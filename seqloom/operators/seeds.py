@@ -34,7 +34,18 @@ def first_hits(seeds: DataFrame, key: str, n: int = 32) -> DataFrame:
     return seeds.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def look_up(queries: DataFrame, seeds: DataFrame, key: str, n: int = 32) -> DataFrame:
-    """query_id, q_pos, seq_id, pos: for each query seed the first n seeds of the table."""
+#: Places of one key that meet the queries in one task; more are dealt to parts.
+KEY_PART = 10_000
+
+
+def look_up(queries: DataFrame, seeds: DataFrame, key: str, n: int | None = 32) -> DataFrame:
+    """query_id, q_pos, seq_id, pos: for each query seed the first n seeds of the table, or all
+    of them if n is null; the query seeds then meet a frequent key in parts."""
     q = queries.select(F.col("seq_id").alias("query_id"), F.col("pos").alias("q_pos"), key)
+    if n is None:
+        often = seeds.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / KEY_PART).alias("parts")).filter("parts > 1")
+        parts = F.coalesce("parts", F.lit(1))
+        q = q.join(often, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        s = seeds.select(key, "seq_id", "pos").join(often, key, "left").withColumn("part", F.pmod(F.xxhash64("seq_id", "pos"), parts))
+        return q.join(s, [key, "part"]).select("query_id", "q_pos", "seq_id", "pos")
     return q.join(first_hits(seeds, key, n).select(key, "seq_id", "pos"), key).select("query_id", "q_pos", "seq_id", "pos")

@@ -96,6 +96,13 @@ def seed_lookup(spark, sf_dir):
     return got.groupBy("query_id", "seq_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
+def seed_lookup_all(spark, sf_dir):
+    """The same without a limit: all places of every seed."""
+    t = seeds.seed_table(sequences(spark, sf_dir))
+    got = seeds.look_up(t.filter(F.col("seq_id") % QUERY_STEP == 0), t, "kmer_hash", None)
+    return got.groupBy("query_id", "seq_id").agg(F.count(F.lit(1)).alias("n_hits"))
+
+
 def low_complexity_runs(spark, sf_dir):
     r = sequences(spark, sf_dir).select("seq_id", residue.runs("residues", 10).alias("runs"), residue.low_complexity_skip("residues", 40, 10).cast("long").alias("skip"))
     return r.select("seq_id", F.size("runs").cast("long").alias("n_runs"), F.coalesce(F.array_max(F.transform("runs", F.length)), F.lit(0)).cast("long").alias("longest"), "skip")
@@ -352,7 +359,7 @@ def stream_periods(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, fasta_stream, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, low_complexity_runs, identity,
+        seq_normalise, fasta_wrap60, fasta_roundtrip, fasta_numbering, fasta_stream, header_accession, kmer_counts, kmer_hashes, kmer_reduced, seed_table_flat, seed_lookup, seed_lookup_all, low_complexity_runs, identity,
         best_diagonal, edit_text, edit_roundtrip, edit_forest_roundtrip, nw_alignment, nw_columns, flat_roundtrip, flat_ratio, flat_segments, forest_roundtrip, forest_shape, forest_depths, forest_reconstruct, forest_prune, prune_scores, candidate_dedupe,
         align_once, align_once_fanout, expand_overlap, best_hit_per_pair, missed_extra, recall_precision, roc_points, roc_auc, roc_universe, family_dense_sample, hash_sample, search_sequences, search_flat, search_iterated, profile_counts,
         search_forest, matched_roots, forest_ratio, forest_db_append, db_append, stream_append, stream_periods,

@@ -83,6 +83,9 @@ SELECT substr(t, i, 5) AS reduced, count(*) AS n FROM r, range(1, length(t) - 3)
     "seed_lookup": f"""
 WITH {_SEEDS}, ft AS (SELECT * FROM seed QUALIFY row_number() OVER (PARTITION BY kmer_hash ORDER BY seq_id, pos) <= 32)
 SELECT q.seq_id AS query_id, ft.seq_id, count(*) AS n_hits FROM seed q JOIN ft USING (kmer_hash) WHERE q.seq_id % 20 = 0 GROUP BY ALL""",
+    "seed_lookup_all": f"""
+WITH {_SEEDS}
+SELECT q.seq_id AS query_id, t.seq_id, count(*) AS n_hits FROM seed q JOIN seed t USING (kmer_hash) WHERE q.seq_id % 20 = 0 GROUP BY ALL""",
     "low_complexity_runs": f"""
 WITH {_S}, r AS (SELECT seq_id, residues, regexp_extract_all(residues, '({_RUN})', 1) AS runs, regexp_extract(left(residues, 50), '^(.*?)(?:{_RUN10})', 1) AS before, regexp_matches(left(residues, 50), '{_RUN10}') AS hit FROM s)
 SELECT seq_id, len(runs) AS n_runs, coalesce(list_max(list_transform(runs, lambda x: length(x))), 0) AS longest,

@@ -245,13 +245,17 @@ def test_evaluation(spark):
     assert evaluate.sample(ids, "k", 7).count() == 7
 
 
-def test_seeds(spark):
+def test_seeds(spark, monkeypatch):
     df = frame(spark, {1: "ACDEFGHIK", 2: "ACDEFG", 3: "AAAAAAAAAAAA", 4: "ACDEJGHIK", 5: None})
     got = seeds.seed_table(df).collect()
     assert {(r.seq_id, r.pos) for r in got} == {(1, 0), (1, 1), (1, 2)}
     assert {r.reduced for r in seeds.reduced_seeds(df.filter("seq_id = 2")).collect()} == {"32887", "28874"}
     table = spark.createDataFrame([(i, 0, "k") for i in range(50)], "seq_id BIGINT, pos INT, kmer STRING")
     assert {r.seq_id for r in seeds.look_up(table.limit(1), table, "kmer", 32).collect()} == set(range(32))
+    monkeypatch.setattr(seeds, "KEY_PART", 7)
+    more = table.unionByName(spark.createDataFrame([(90, 3, "j"), (91, 4, None)], table.schema))
+    got = [tuple(r) for r in seeds.look_up(more.filter("seq_id IN (0, 90, 91)"), more, "kmer", None).collect()]
+    assert sorted(got) == sorted([(0, 0, i, 0) for i in range(50)] + [(90, 3, 90, 3)])
 
 
 def test_fasta(spark, tmp_path):
