@@ -1,6 +1,8 @@
 """Compression, search, evaluation, sources and streams on small inputs."""
 
 import random
+import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,25 @@ def test_alignment_scores():
     assert [s for s, _, _ in got] == [local_score(a, b, p) for a, b in pairs]
 
 
+def test_alignment_cost_and_kinds():
+    """Cells of the band outside the subjects cost nothing; large scores and score tables."""
+    rng, p = random.Random(4), search.SearchParams()
+    text = lambda n: "".join(rng.choice(LETTERS) for _ in range(n)).encode()
+    q, took = [text(120) for _ in range(256)], {}
+    for n in (16, 400):
+        s = [text(n) for _ in q]
+        for _ in range(3):
+            began = time.process_time()
+            search.align_batch(q, s, [0] * len(q), p)
+            took[n] = min(took.get(n, 9e9), time.process_time() - began)
+    assert took[16] < 0.6 * took[400]
+    s = [a[30:90] + text(5) for a in q]
+    got = search.align_batch(q, s, [-32] * len(q), p)
+    large = search.align_batch(q, s, [-32] * len(q), replace(p, matrix=p.matrix * 1000, gap_open=11_000, gap_extend=1000))
+    assert large == [(1000 * x, y, z) for x, y, z in got] and large[0][0] > 2**16
+    assert search.align_batch(q, s, [-32] * len(q), p, [p.matrix[list(a)] if i % 2 else None for i, a in enumerate(q)]) == got
+
+
 def test_lambda_and_matrix(tmp_path):
     m = search.rule_matrix()
     lam = search.karlin_lambda(m, dict.fromkeys(LETTERS, 1.0))
