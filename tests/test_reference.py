@@ -279,6 +279,21 @@ def test_seeds(spark, monkeypatch):
     assert sorted(got) == sorted([(0, 0, i, 0) for i in range(50)] + [(90, 3, 90, 3)])
 
 
+def test_seeds_are_not_broadcast(spark):
+    """Look-ups send no seeds through the driver, however small the texts; runs and long texts."""
+    df = frame(spark, {1: "ACDEFGHIK" * 300, 2: "ACDEFG", 3: "CDEFAAAAAACDEFGHI", 4: "CDEFA", 5: "AAAACDEFGHIKL"})
+    t = seeds.seed_table(df)
+    for n in (32, None):
+        got = seeds.look_up(t.filter("seq_id % 2 = 1"), t, "kmer_hash", n)
+        assert got.count() > 0 and len(got.collect()) == got.count()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and (n is None or "Broadcast" not in plan)
+    assert {r.pos for r in t.filter("seq_id = 3").collect()} == set(range(4))
+    assert {r.pos for r in t.filter("seq_id = 5").collect()} == set(range(7))
+    calm = {r.pos for r in seeds.seed_table(df, window=7).filter("seq_id = 3").collect()}
+    assert calm == set(range(11))
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.fasta").write_text("\n\n> one x\nACD\nEF*\n\n>two\n>three\nacdj\n")
     (tmp_path / "b.fasta").write_text(">one x\nK\n")
