@@ -130,6 +130,20 @@ def test_alignment_cost_and_kinds():
     assert search.align_batch(q, s, [-32] * len(q), p, [p.matrix[list(a)] if i % 2 else None for i, a in enumerate(q)]) == got
 
 
+def test_rounds_make_only_what_is_read(spark, monkeypatch):
+    """Texts are made once for all rounds, and score tables for the rounds that follow only."""
+    saved, save = [], search.Stage.save
+    monkeypatch.setattr(search.Stage, "save", lambda self, df, table: saved.append(table) or save(self, df, table))
+    rng = random.Random(5)
+    text = ["".join(rng.choice(LETTERS) for _ in range(120)) for _ in range(2)]
+    df = frame(spark, {1: text[0], 2: text[0][:60] + text[1][60:], 3: text[1]})
+    for rounds in (1, 2):
+        saved.clear()
+        got = {(r.query_id, r.subject_id): r.round for r in search.search_iterated(df.filter("seq_id = 1"), df, rounds).collect()}
+        assert got == {(1, 1): 1, (1, 2): 1}
+        assert {"subjects", "texts"} <= set(saved) and ("queries1" in saved) == (rounds > 1)
+
+
 def test_lambda_and_matrix(tmp_path):
     m = search.rule_matrix()
     lam = search.karlin_lambda(m, dict.fromkeys(LETTERS, 1.0))
