@@ -54,10 +54,15 @@ STUFFED_SHARE = 0.5
 COUNT_TOKENS, TASK_PAGES = 1_000_000, 5_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: The same for ASCII in lower case with all digits 0, and line ends.
+_PLAIN, _ZEROS = re.compile(r"[a-z]+|0+|\n|[^\w\s]|_"), str.maketrans("123456789", "000000000")
 
 
 def tokens(lines: list[str]) -> list[str]:
     """Words, marks and line ends in order; a number is as many zeros as it has digits."""
+    whole = "\n".join([*lines, ""])
+    if whole.isascii() and whole.count("\n") == len(lines):
+        return _PLAIN.findall(whole.lower().translate(_ZEROS))
     out: list[str] = []
     for line in lines:
         line = line.lower()

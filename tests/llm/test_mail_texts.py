@@ -237,3 +237,12 @@ def test_own_lines_read_again():
     """UTF-8 read as Latin-1 is mended; real Latin-1 letters stay."""
     text = "Привет, как дела"
     assert mail.own_lines("A: b\n\n" + text.encode().decode("latin-1") + "\nGrüße an ö") == [text, "Grüße an ö"]
+
+
+def test_tokens_of_plain_and_other_lines():
+    """Pages of ASCII letters are cut in one pass, and as line by line with other letters."""
+    lines = ["Buy 120 pills_now!", "", " A1b2\tx\x1cy", "$9.99 | 007"]
+    apart = [t for line in lines for t in stuffing.tokens([line])]
+    other = stuffing.tokens([*lines, "é"])
+    assert stuffing.tokens(lines) == apart == other[:-2] and other[-2:] == ["é", "\n"]
+    assert apart[:6] == ["buy", "000", "pills", "_", "now", "!"] and stuffing.tokens([]) == []
