@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import compress, evaluate, forest, search, seeds
+from seqloom.plans import reference
 from seqloom.sources import fasta
 from seqloom.sources.database import ForestDatabase, SequenceDatabase
 from seqloom.streaming import jobs
@@ -360,3 +361,10 @@ def test_streams(spark, records, tmp_path):
     rows = fasta.stream_fasta(spark, str(tmp_path / "in")).selectExpr("CAST(header AS BIGINT) AS seq_id", "residues")
     jobs.stream_append(rows, db, str(tmp_path / "progress"))
     assert {r.seq_id: r.residues for r in db.sequences().collect()} == {i: t for i, t in records.items() if i < 10}
+
+
+def test_iterated_takes_every_query(spark, records, tmp_path):
+    """Ids that no step divides find themselves and their relatives too."""
+    frame(spark, {i: t for i, t in records.items() if i < 10}).write.parquet(f"{tmp_path}/fasta_sequence.parquet")
+    found = {(r.query_id, r.subject_id) for r in reference.search_iterated(spark, str(tmp_path)).collect()}
+    assert {(i, i) for i in range(10)} <= found and {(1, 2), (2, 1), (7, 8)} <= found
