@@ -368,3 +368,19 @@ def test_iterated_takes_every_query(spark, records, tmp_path):
     frame(spark, {i: t for i, t in records.items() if i < 10}).write.parquet(f"{tmp_path}/fasta_sequence.parquet")
     found = {(r.query_id, r.subject_id) for r in reference.search_iterated(spark, str(tmp_path)).collect()}
     assert {(i, i) for i in range(10)} <= found and {(1, 2), (2, 1), (7, 8)} <= found
+
+
+def test_search_blocks(spark, records, monkeypatch):
+    """However queries, seeds and members are dealt, hits are the same, and no pair is shuffled."""
+    df = frame(spark, records)
+    names = df.select("seq_id", F.explode(F.array(F.col("seq_id"), F.col("seq_id") + 1000)).alias("member_id"), F.lit(5).alias("shift"))
+    rows = lambda **k: sorted(tuple(r) for r in search.search(df, df, **k).collect())
+    whole, named = rows(), rows(members=names)
+    plan = search.search(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "Window" not in plan
+    assert named == sorted((*r[:1], i, *r[2:7], r[7] + 5, r[8] + 5) for r in whole for i in (r[1], r[1] + 1000))
+    for name, n in (("QUERY_BLOCK", 300), ("MET", 3), ("MEMBERS", 1), ("SEED_PART", 2)):
+        monkeypatch.setattr(search, name, n)
+    assert rows() == whole and rows(members=names) == named
+    assert {r[:2] for r in rows(p=search.SearchParams(self_pairs=False))} == {r[:2] for r in whole if r[0] != r[1]}
+    assert {r[:2] for r in whole} >= {(i, i) for i in range(20)} and not any(r[0] == 101 for r in whole)
